@@ -1,0 +1,46 @@
+"""Tables that cut lineage, in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset (local sessions, tests), a temporary one that is then set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="foliant-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet and read back: later reads survive lost executors and nothing is computed twice.
+
+    The files go when the application ends, or earlier with ``dropped``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    _fs(spark, path).deleteOnExit(_path(spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._foliant_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that no later plan reads."""
+    for t in tables:
+        spark, path = t.sparkSession, t._foliant_path
+        _fs(spark, path).delete(_path(spark, path), True)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
