@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import langid, minhash, mixing, pii, quality, sharding, tokenize, toxicity
+from foliant.llm import hnsw, langid, minhash, mixing, pii, quality, sharding, tokenize, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_language(_table(spark, sf_dir, "documents"))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicate_vectors(_table(spark, sf_dir, "embeddings")).drop("recall")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"), size=F.coalesce(F.octet_length("text"), F.lit(0)), keep=["doc_id", "source"])
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_language": op8_language,
+    "op9_embeddings": op9_embeddings,
     "op10_mixing": op10_mixing,
 }
 
