@@ -251,9 +251,10 @@ def repeated_starts(bodies: list[bytes], group: np.ndarray, inside: np.ndarray,
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (s[1:] != s[:-1] + 1)
     heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(a))[: len(heads)]
     sure = np.ones(len(a), bool)
     body = data.tobytes()
-    for i, j in zip(heads, np.append(heads[1:], len(a)), strict=True):
+    for i, j in zip(heads, tails, strict=True):
         x, y, n = int(at[twins[i]]), int(at[twins[i] + 1]), int(j - i) - 1 + length
         if body[x : x + n] != body[y : y + n]:
             sure[i:j] = [body[u : u + length] == body[v : v + length] for u, v in zip(at[twins[i:j]], at[twins[i:j] + 1], strict=True)]

@@ -65,3 +65,9 @@ def test_suffix_sort_orders_and_extends():
 
 def test_empty(spark):
     assert suffix.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_group_without_equal_strings():
+    bodies = [b"a" * 40 + bytes([i]) * 60 + b"z" * 40 for i in (65, 66)]
+    found = suffix.repeated_starts(bodies, np.zeros(2, np.int64), np.array([10, 10]), np.array([20, 20]), 100)
+    assert found.shape == (0, 2)
