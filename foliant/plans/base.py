@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.functions.dialect import DUCK, SPARK, Dialect
+from foliant.sources.scratch import written
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -36,3 +37,29 @@ class Query:
 
     def oracle(self) -> str:
         return self.sql(DUCK)
+
+
+@dataclass(frozen=True)
+class Steps:
+    """A registered query of named steps. On Spark, the steps in ``keep`` are written once for all their readers."""
+
+    steps: Callable[[Dialect], list[tuple[str, str]]]
+    last: Callable[[Dialect], str]
+    tables: tuple[str, ...]
+    keep: tuple[str, ...] = ()
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.over(spark, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in self.tables})
+
+    def over(self, spark: SparkSession, **tables: DataFrame) -> DataFrame:
+        for name, df in tables.items():
+            df.createOrReplaceTempView(name)
+        for name, body in self.steps(SPARK):
+            df = spark.sql(body)
+            if name in self.keep:
+                df = written(df, name)
+            df.createOrReplaceTempView(name)
+        return spark.sql(self.last(SPARK))
+
+    def oracle(self) -> str:
+        return chain(self.steps(DUCK), self.last(DUCK))

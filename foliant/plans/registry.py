@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import text_queries
-from foliant.plans.base import Query
+from foliant.plans import answer_queries, text_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **answer_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.oracle() for name, q in QUERIES.items() if isinstance(q, Query)}
+    return {name: q.oracle() for name, q in QUERIES.items() if hasattr(q, "oracle")}
