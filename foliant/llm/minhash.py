@@ -6,10 +6,14 @@
    signatures that differ in at most MAX_DISTANCE symbols differ in at most one symbol in
    some chunk (pigeonhole); every class is entered once for each chunk and each symbol of it
    left out, so such a pair shares an entry: none is missed.
-3. In each entry all classes are compared with its smallest one, then what is left between
-   different components is compared in full; entries with many such classes are split by
-   a second pigeonhole over their other chunks. A pair counts only if its full sets confirm
-   it. Links give components.
+3. In each entry every class is measured against the entry's smallest class, its lead: the
+   size of the intersection, which of the lead's shingles it has (bits), and a small Bloom
+   filter of its others. Sets that confirm a link join components.
+4. Members of one lead that are still in different components are compared by their bits and
+   filters, whole blocks at once as matrix products, which bound the intersection from above;
+   only pairs whose bound allows a link are returned, and full sets confirm them. Members too
+   far from their lead are compared by signature within their entry. So a group of thousands
+   of loose copies is decided without a row for each of its pairs.
 
 At a similarity of 0.85 a linked pair differs in 4.8 of 32 symbols on average and in more
 than MAX_DISTANCE with a chance of about 2e-6; at 0.8, 1e-4.
@@ -37,8 +41,13 @@ WIDTH = SYMBOLS // CHUNKS
 #: Errors allowed in a chunk, by leaving that many symbols out.
 CHUNK_ERRORS = 1
 MAX_DISTANCE = CHUNKS * (CHUNK_ERRORS + 1) - 1
-#: Classes of different components in one entry from which it is split further.
-SPLIT_ENTRY = 100
+#: A class this many symbols from its lead or nearer is measured against it.
+LEAD_DISTANCE = 20
+#: Members of an entry from which it is split by a second pigeonhole.
+SPLIT_ENTRY = 5_000
+#: Bits of the filter of shingles that the lead lacks.
+FILTER_BITS = 512
+BLOCK = 512
 #: Ids of texts to fetch for verification are broadcast up to this count (about 16 MB).
 BROADCAST_IDS = 500_000
 
@@ -146,17 +155,124 @@ def _sets_of(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataF
     return base.mapInArrow(work, "fp binary, shingles array<long>").dropDuplicates(["fp"])
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` (a, na, b, nb) whose sets share ``percent`` of their union."""
-    pairs = written(pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).distinct(), "pairs")
+def _joined_sets(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """``pairs`` (a, na, b, nb) with the shingles of both as sa and sb, and the tables to drop when they are read."""
+    pairs = written(pairs, "pairs")
     needed = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
     ids = written(classes.join(needed, "fp", "left_semi").select("rep"), "needed")
     sets = written(_sets_of(df, id_col, text_col, ids), "sets")
     joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = joined.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
-    links = written(shared.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "confirmed")
-    dropped(pairs, ids, sets)
-    return links
+    return joined.select("a", "na", "b", "nb", "sa", "sb"), [pairs, ids, sets]
+
+
+def _linked(percent: int):
+    return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, lead b) with their intersection, a's bits over b's set and the filter of a's other shingles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            both, bits, rest = [], [], []
+            for i in range(part.num_rows):
+                x, lead = (np.asarray(part.column(c)[i].values) for c in (4, 5))
+                has = np.isin(lead, x, assume_unique=True)
+                other = x[np.isin(x, lead, assume_unique=True, invert=True)].view(_U)
+                slots = np.zeros(FILTER_BITS, bool)
+                slots[(bh.mix(other) % _U(FILTER_BITS)).astype(np.int64)] = True
+                both.append(int(has.sum()))
+                bits.append(np.packbits(has).tobytes())
+                rest.append(np.packbits(slots).tobytes())
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(both, pa.int64()), pa.array(bits, pa.binary()), pa.array(rest, pa.binary())], names=["a", "na", "b", "nb", "both", "bits", "rest"])
+
+
+def _bounded(percent: int):
+    """Pairs of one lead's members in different components whose intersection may be large enough.
+
+    Rows come sorted by lead. What two members share is what they share of the lead, counted
+    exactly, and at most as many others as the smaller filter hit allows: of the
+    r others of a member, those whose slot is empty in the other's filter are not shared, and
+    at most ``r - empty slots of its own filter unmatched`` are left.
+    """
+
+    def pairs_of(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        n, nb, both = (rows.column(i).to_numpy() for i in (1, 3, 4))
+        roots = np.array(rows.column(7).to_pylist(), object)
+        _, root = np.unique(roots, return_inverse=True)
+        if root.max() == 0:
+            return
+        unpack = lambda i, width: np.unpackbits(np.frombuffer(b"".join(rows.column(i).to_pylist()), np.uint8).reshape(len(n), -1), axis=1)[:, :width].astype(np.float32)
+        of_lead, slots = unpack(5, int(nb[0])), unpack(6, FILTER_BITS)
+        used, others = slots.sum(1), n - both
+        order = np.argsort(n, kind="stable")
+        for at in range(0, len(n), BLOCK):
+            mine = order[at : at + BLOCK]
+            # Sizes must be near; partners are the rows from here on.
+            last = int(np.searchsorted(n[order], 100 * n[mine[-1]] / percent, "right"))
+            theirs = order[at:last]
+            for k in range(0, len(theirs), 8 * BLOCK):
+                y = theirs[k : k + 8 * BLOCK]
+                common = of_lead[mine] @ of_lead[y].T
+                hits = slots[mine] @ slots[y].T
+                # A member with r others in s slots has at most r - (s - hits) of them in hit slots.
+                extra = np.minimum(others[mine][:, None] - used[mine][:, None] + hits, others[y][None] - used[y][None] + hits)
+                extra = np.where(hits == 0, 0, extra)
+                most = common + extra
+                i, j = np.nonzero((root[mine][:, None] != root[y][None]) & (100 * most >= percent * (n[mine][:, None] + n[y][None] - most)))
+                later = at + i < at + k + j
+                a, b = pa.array(mine[i[later]]), pa.array(y[j[later]])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(a), rows.column(1).take(a), rows.column(0).take(b), rows.column(1).take(b)], names=["a", "na", "b", "nb"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, ["b"]):
+            yield from pairs_of(rows)
+
+    return work
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """Whole groups of rows sorted by ``by``, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+        start = 0
+        for i, k in enumerate(keys):
+            if k != last:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, start, last = [], i, k
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _far_pairs(percent: int):
+    """Pairs of an entry's members, one of them far from the lead, in different components and within MAX_DISTANCE."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, ["key", "sub"]):
+            n, far = rows.column("n").to_numpy(), rows.column("far").to_numpy(zero_copy_only=False)
+            _, root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
+            sig = _as_symbols(rows.column("sig"))
+            some = np.flatnonzero(far)
+            step = max(1, 2_000_000 // (SYMBOLS * len(n)) + 1)
+            for at in range(0, len(some), step):
+                mine = some[at : at + step]
+                apart = (sig[mine][:, None] != sig[None]).sum(2)
+                near = (apart <= MAX_DISTANCE) & (root[mine][:, None] != root[None]) & (100 * np.minimum(n[mine][:, None], n[None]) >= percent * np.maximum(n[mine][:, None], n[None]))
+                near &= ~far[None] | (mine[:, None] < np.arange(len(n))[None])
+                i, j = np.nonzero(near)
+                a, b = pa.array(mine[i]), pa.array(j)
+                fp, size = rows.column("fp"), rows.column("n")
+                yield pa.RecordBatch.from_arrays([fp.take(a), size.take(a), fp.take(b), size.take(b)], names=["a", "na", "b", "nb"])
+
+    return work
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
@@ -175,19 +291,31 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     entries = classes.select("fp", "n", "sig").mapInArrow(_enter, "fp binary, n long, key long")
     least = entries.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("lead"), F.max("fp").alias("most")).where(F.col("lead.fp") != F.col("most"))
     shared = written(entries.join(least.select("key", "lead"), "key"), "entries")
-    star = shared.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("lead.fp").alias("b"), F.col("lead.n").alias("nb")).where("a != b")
-    links = _confirmed(star, classes, df, id_col, text_col, percent)
-
+    sig = lambda side: classes.select(F.col("fp").alias(side), F.col("sig").alias(f"sig_{side}"))
+    star = shared.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("lead.fp").alias("b"), F.col("lead.n").alias("nb")).where("a != b").distinct()
+    star = star.join(sig("a"), "a").join(sig("b"), "b").select("a", "na", "b", "nb", "sig_a", "sig_b").mapInArrow(_near, "a binary, na long, b binary, nb long")
+    joined, spent = _joined_sets(star, classes, df, id_col, text_col)
+    measured = written(joined.mapInArrow(_measured, "a binary, na long, b binary, nb long, both long, bits binary, rest binary"), "measured")
+    dropped(*spent)
+    links = measured.where(_linked(percent)).select("a", "b")
     roots = written(connected_components(links), "roots")
-    labelled = shared.select("key", "fp", "n").join(roots, shared["fp"] == roots["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low != high").select("key", "held")
-    left = labelled.join(open_keys, "key").join(classes.select("fp", "sig"), "fp")
-    left = written(left.mapInArrow(_enter_split, "key long, sub long, fp binary, n long, root binary, sig binary"), "open")
-    x, y = (left.select("key", "sub", *(F.col(c).alias(f"{c}_{s}") for c in ("fp", "n", "root", "sig"))) for s in "ab")
-    cross = x.join(y, ["key", "sub"]).where("fp_a < fp_b and root_a != root_b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    cross = cross.select("fp_a", "n_a", "fp_b", "n_b", "sig_a", "sig_b").mapInArrow(_near, "a binary, na long, b binary, nb long")
-    more = _confirmed(cross, classes, df, id_col, text_col, percent)
-    roots = written(connected_components(links.unionByName(more)), "roots")
+
+    rooted = measured.join(roots, measured["a"] == roots["node"], "left").withColumn("root", F.coalesce("root", "a")).drop("node")
+    split = rooted.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("b")
+    members = rooted.join(split, "b", "left_semi").select("a", "na", "b", "nb", "both", "bits", "rest", "root")
+    pairs = members.repartition("b").sortWithinPartitions("b").mapInArrow(_bounded(percent), "a binary, na long, b binary, nb long")
+
+    near_lead = measured.select(F.col("a").alias("x"), F.col("b").alias("of"))
+    placed = shared.join(near_lead, (shared["fp"] == near_lead["x"]) & (F.col("lead.fp") == near_lead["of"]), "left").select("key", "fp", "n", (F.col("x").isNull() & (F.col("fp") != F.col("lead.fp"))).alias("far"))
+    wide = placed.groupBy("key").agg(F.max("far").alias("any"), F.count("*").alias("held")).where("any and held > 2").select("key", "held")
+    left = placed.join(wide, "key").join(roots, placed["fp"] == roots["node"], "left").select("key", "held", "n", "far", F.coalesce("root", "fp").alias("root"), "fp").join(classes.select("fp", "sig"), "fp")
+    left = left.mapInArrow(_enter_split, "key long, sub long, fp binary, n long, far boolean, root binary, sig binary").repartition("key", "sub").sortWithinPartitions("key", "sub")
+    far = left.mapInArrow(_far_pairs(percent), "a binary, na long, b binary, nb long")
+    joined, spent = _joined_sets(pairs.unionByName(far).select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct(), classes, df, id_col, text_col)
+    more = written(joined.withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long")).where(_linked(percent)).select("a", "b"), "confirmed")
+    dropped(*spent)
+    if not more.isEmpty():
+        roots = written(connected_components(links.unionByName(more)), "roots")
 
     named = classes.select("fp", "rep").join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -210,24 +338,24 @@ def _enter_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds sub: one value for small entries; for others each key of the second pigeonhole."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024).select(["fp", "key", "n", "root", "held", "sig"])
-            many = part.column(4).to_numpy() > SPLIT_ENTRY
+            part = batch.slice(at, 1024).select(["key", "fp", "n", "far", "root", "sig", "held"])
+            many = part.column(6).to_numpy() > SPLIT_ENTRY
             for split in (False, True):
                 rows = part.filter(pa.array(many == split))
                 if not rows.num_rows:
                     continue
                 subs = _split_entries(_as_symbols(rows.column(5))) if split else np.zeros((rows.num_rows, 1), _U)
                 again = pa.array(np.repeat(np.arange(rows.num_rows), subs.shape[1]))
-                taken = [rows.column(i).take(again) for i in (1, 0, 2, 3, 5)]
-                yield pa.RecordBatch.from_arrays([taken[0], pa.array(subs.ravel().view(np.int64)), *taken[1:]], names=["key", "sub", "fp", "n", "root", "sig"])
+                taken = [rows.column(i).take(again) for i in range(6)]
+                yield pa.RecordBatch.from_arrays([taken[0], pa.array(subs.ravel().view(np.int64)), *taken[1:]], names=["key", "sub", "fp", "n", "far", "root", "sig"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures are within MAX_DISTANCE."""
+    """Pairs whose signatures are within LEAD_DISTANCE."""
     for batch in batches:
         if batch.num_rows:
             far = (_as_symbols(batch.column(4)) != _as_symbols(batch.column(5))).sum(1)
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "na", "b", "nb"]).filter(pa.array(far <= MAX_DISTANCE))
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "na", "b", "nb"]).filter(pa.array(far <= LEAD_DISTANCE))
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
