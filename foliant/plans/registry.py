@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import answer_queries, text_queries
+from foliant.plans import answer_queries, store_queries, text_queries
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **answer_queries.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**text_queries.QUERIES, **answer_queries.QUERIES, **store_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

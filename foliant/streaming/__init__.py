@@ -1,0 +1,13 @@
+"""Incremental ingestion."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from foliant.sources.store import replace_workspaces
+
+
+def ingest_stream(pages: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Write a stream of pages to the store, each micro-batch in place of its workspaces' documents."""
+    return pages.writeStream.foreachBatch(lambda batch, _: replace_workspaces(batch, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
