@@ -106,18 +106,19 @@ def telling_stretches(toxic: list[str], ordinary: list[str]) -> list[str]:
 
     Occurrences count once for each pair of neighbouring words, so copies of one text don't add up.
     """
+    names: dict[str, int] = {"": 0}
+    rows = [[np.array([0, *(names.setdefault(w, len(names)) for w in split_words(t)), 0]) for t in texts] for texts in (toxic, ordinary)]
+    words, size = list(names), len(names)
     counts = []
-    for texts in (toxic, ordinary):
-        seen = set()
-        for t in texts:
-            w = ["", *split_words(t), ""]
-            seen.update(zip(w, w[1:], w[2:]))
+    for texts in rows:
+        # A number for each occurrence with its neighbours; different ones count by their middle word.
+        keys = np.unique(np.concatenate([(w[:-2] * size + w[1:-1]) * size + w[2:] for w in texts] or [np.zeros(0, np.int64)]))
         starts: Counter[str] = Counter()
-        for word, n in Counter(x[1] for x in seen).items():
-            marked = f" {word} "
+        for word, n in zip(*np.unique(keys // size % size, return_counts=True), strict=True):
+            marked = f" {words[word]} "
             for k in range(4, min(len(marked), 12) + 1):
-                starts[marked[:k]] += n
-        counts.append((starts, max(1, len(seen))))
+                starts[marked[:k]] += int(n)
+        counts.append((starts, max(1, len(keys))))
     (in_toxic, n_toxic), (in_ordinary, n_ordinary) = counts
 
     def ratio(s: str) -> float:
