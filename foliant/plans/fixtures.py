@@ -23,11 +23,11 @@ def title(d: Dialect, x: str = "text") -> str:
 
 
 def structured(d: Dialect) -> str:
-    """Documents with two section headings, heading lines, a table, bullets and estimates."""
+    """Whole documents with two section headings, heading lines, a table, bullets and estimates put in at their start and end."""
     parts = [
         "'Before it. '", "CAST(doc_id % 4 + 1 AS STRING)", "'.1 Adding Records (New) NO ACTION'", _NL, "substring(text, 1, 400)", _NL,
         "CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('7.', CAST(doc_id % 6 AS STRING), '.2 Update Policy  Estimation time in total: 5 min') END", _NL,
-        "'2.3 Review the Plan'", _NL, "'- check every record; then submit it'", _NL, "substring(text, 401, 300)", _NL, "'2.3  review the plan'", _NL, "'2.4 Review the Plan'", _NL,
+        "'2.3 Review the Plan'", _NL, "'- check every record; then submit it'", _NL, "substring(text, 401)", _NL, "'2.3  review the plan'", _NL, "'2.4 Review the Plan'", _NL,
         "CASE doc_id % 4 WHEN 0 THEN concat('No | Action | Time', chr(10), '1 | Submit the form today | 5 min', chr(10), '2 | Review all open records | 9') WHEN 1 THEN concat('Role | Action | Time', chr(10), 'Owner | Verify the monthly report | 10', chr(10), '3 | x | -') WHEN 2 THEN concat('a  b   Confirm the new entry', chr(10), '> -> flow') ELSE '• notify the owner of changes' END",
     ]
     return f"SELECT doc_id, source, concat({', '.join(parts)}) AS text FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents)"
