@@ -5,7 +5,7 @@ text that ordinary text lacks. A window is scored by the bytes that its compress
 when the toxic dictionary is put before the ordinary one. A document's savings, as counts
 and shares of windows, go through thresholds and a logistic curve calibrated on labelled rows.
 
-A window is one word behind a fixed lead that both dictionaries hold: alone, a word is too
+A window is one word in a fixed lead that both dictionaries hold: alone, a word is too
 short for a compressed block to beat a raw one. Equal words save equal bytes, so a worker
 compresses each distinct word once (its table is bounded by ``TABLE_WORDS``). Every word of a
 text counts; texts are not cut.
@@ -32,8 +32,8 @@ ORDINARY_DICT_BYTES = 32_768
 TOXIC_DICT_BYTES = 1_024
 LEVEL = 12
 LEAD_BYTES = 40
-#: Log-likelihood ratio from which a stretch counts as one that toxic text has and ordinary text lacks.
-MIN_RATIO = 60.0
+#: Added to the counts of a stretch in either class, so that a rare one ranks below a frequent one of the same share.
+SMOOTH = 2.0
 #: Savings in bytes whose counts and shares are the document's features.
 STEPS = (1, 2, 3, 4, 5)
 THRESHOLD = 0.3
@@ -61,8 +61,9 @@ class Scorer:
     def __init__(self, ordinary: bytes, toxic: bytes, table_words: int = TABLE_WORDS):
         # The toxic part stands first, so matches in the ordinary part cost the same either way.
         self.lead = ordinary[-LEAD_BYTES:]
-        self.plain = self._compressor(bytes(len(toxic)) + ordinary)
-        self.marked = self._compressor(toxic + ordinary)
+        # Nothing matches the very start of the content, so some bytes stand before the toxic part.
+        self.plain = self._compressor(bytes(8 + len(toxic)) + ordinary)
+        self.marked = self._compressor(bytes(8) + toxic + ordinary)
         self.table: dict[str, int] = {}
         self.table_words = table_words
 
@@ -74,7 +75,8 @@ class Scorer:
         return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
     def saving(self, word: str) -> int:
-        window = self.lead + f" {word} ".encode()
+        # The compressor looks for no match in the last 8 bytes, so the lead stands behind the word as well.
+        window = self.lead + f" {word} ".encode() + self.lead
         return len(self.plain.compress(window)) - len(self.marked.compress(window))
 
     def features(self, text: str) -> list[float]:
@@ -101,40 +103,36 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling_stretches(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Word beginnings (or whole words, with a space behind) that toxic text has far more often.
+def telling_stretches(toxic: list[str], ordinary: list[str], size: int = TOXIC_DICT_BYTES) -> list[str]:
+    """Word beginnings (or whole words, with a space behind) that toxic text has more often, by smoothed log odds.
 
+    The first that fill ``size`` bytes; no count decides, so little text gives a dictionary too.
     Occurrences count once for each pair of neighbouring words, so copies of one text don't add up.
     """
     names: dict[str, int] = {"": 0}
     rows = [[np.array([0, *(names.setdefault(w, len(names)) for w in split_words(t)), 0]) for t in texts] for texts in (toxic, ordinary)]
-    words, size = list(names), len(names)
+    words, n_names = list(names), len(names)
     counts = []
     for texts in rows:
         # A number for each occurrence with its neighbours; different ones count by their middle word.
-        keys = np.unique(np.concatenate([(w[:-2] * size + w[1:-1]) * size + w[2:] for w in texts] or [np.zeros(0, np.int64)]))
+        keys = np.unique(np.concatenate([(w[:-2] * n_names + w[1:-1]) * n_names + w[2:] for w in texts] or [np.zeros(0, np.int64)]))
         starts: Counter[str] = Counter()
-        for word, n in zip(*np.unique(keys // size % size, return_counts=True), strict=True):
+        for word, n in zip(*np.unique(keys // n_names % n_names, return_counts=True), strict=True):
             marked = f" {words[word]} "
             for k in range(4, min(len(marked), 12) + 1):
                 starts[marked[:k]] += int(n)
         counts.append((starts, max(1, len(keys))))
     (in_toxic, n_toxic), (in_ordinary, n_ordinary) = counts
-
-    def ratio(s: str) -> float:
-        a, b = in_toxic[s], in_ordinary[s]
-        if a * n_ordinary <= 2 * b * n_toxic:
-            return 0.0
-        e = (a + b) * n_toxic / (n_toxic + n_ordinary)
-        return 2 * (a * math.log(a / e) + (b * math.log(b / (a + b - e)) if b else 0.0))
-
-    found = {s: r for s in in_toxic if (r := ratio(s)) > MIN_RATIO}
+    odds = {s: math.log((a + SMOOTH) / (in_ordinary[s] + SMOOTH)) for s, a in in_toxic.items() if a * n_ordinary > 2 * in_ordinary[s] * n_toxic}
     chosen: list[str] = []
-    for s in sorted(found, key=lambda s: (-found[s], s)):
+    for s in sorted(odds, key=lambda s: (-odds[s], s)):
         if any(c.startswith(s) or s.startswith(c) for c in chosen):
             continue
-        while longer := [x for x in found if len(x) == len(s) + 1 and x.startswith(s) and found[x] > 0.9 * found[s]]:
-            s = max(longer, key=lambda x: (found[x], x))
+        while longer := [s + c for c in sorted({x[len(s)] for x in odds if len(x) == len(s) + 1 and x.startswith(s)}) if in_toxic[s + c] > 0.9 * in_toxic[s]]:
+            s = max(longer, key=lambda x: (odds[x], x))
+        size -= len(s.encode())
+        if size < 0:
+            break
         chosen.append(s)
     return chosen
 
@@ -147,18 +145,29 @@ def _trained(size: int, samples: list[bytes], otherwise: bytes) -> bytes:
         return otherwise[:size]
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Fit dictionaries and calibration. With one class only, every text gets that class's share, smoothed."""
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The ordinary and the toxic dictionary."""
     stretches = telling_stretches(toxic, ordinary)
     stems = tuple(s.strip() for s in stretches)
     plain = [" ".join(w for w in split_words(t) if not w.startswith(stems or ("\0",))).encode() for t in ordinary]
-    marked = ["".join(s for w in split_words(t) for s in stretches if f" {w} ".startswith(s)).encode() for t in toxic]
-    marked = [m for m in marked if m]
     ordinary_dict = _trained(ORDINARY_DICT_BYTES, plain, b"".join(plain)) or b" " * LEAD_BYTES
-    toxic_dict = _trained(TOXIC_DICT_BYTES, marked, "".join(stretches).encode())
-    scorer = Scorer(ordinary_dict, toxic_dict)
-    x = np.array([scorer.features(t) for t in [*toxic, *ordinary]] or [scorer.features("")], float)
-    y = np.array([1.0] * len(toxic) + [0.0] * len(ordinary) or [0.0])
+    marked = ["".join(s for w in split_words(t) for s in stretches if f" {w} ".startswith(s)).encode() for t in toxic]
+    return ordinary_dict, _trained(TOXIC_DICT_BYTES, [m for m in marked if m], "".join(stretches).encode())
+
+
+def train(toxic: list[str], ordinary: list[str]) -> Model:
+    """Fit dictionaries and calibration. With one class only, every text gets that class's share, smoothed.
+
+    The calibration sees each half of the texts through dictionaries of the other half: stretches
+    that stand in toxic text by chance save nothing there.
+    """
+    x, y = [], []
+    for k in (0, 1):
+        scorer = Scorer(*dictionaries(toxic[k::2], ordinary[k::2]))
+        x += [scorer.features(t) for t in [*toxic[1 - k :: 2], *ordinary[1 - k :: 2]]]
+        y += [1.0] * len(toxic[1 - k :: 2]) + [0.0] * len(ordinary[1 - k :: 2])
+    ordinary_dict, toxic_dict = dictionaries(toxic, ordinary)
+    x, y = np.array(x or [Scorer(ordinary_dict, toxic_dict).features("")], float), np.array(y or [0.0])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(a.shape[1])
