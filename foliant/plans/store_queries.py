@@ -20,7 +20,13 @@ def _words(d: Dialect) -> str:
         40.0E0 + 50 * (pos % 9) + 30 + pos % 12 AS x1, 30.0E0 + 14 * floor(pos / 9) AS y1, item AS text FROM ({made}), {d.explode('list')}"""
 
 
+def _whole(d: Dialect) -> str:
+    """Every document's whole text."""
+    return "SELECT doc_id AS sid, source, coalesce(text, '') AS text FROM documents"
+
+
 def _snippets(d: Dialect) -> str:
+    """The query set of ``word_windows`` and ``line_overlap``: 14 words of every ninth document, sought in all pages of its source."""
     words = d.join(d.slice(t.space_words(d, "text"), "CAST(doc_id % 7 AS INT) + 3", "14"))
     return f"SELECT doc_id AS sid, source, {words} AS text FROM documents WHERE doc_id % 9 = 0"
 
@@ -44,10 +50,10 @@ QUERIES = {
     "workspace_without_docs": Query(lambda d: "SELECT w.workspace_id FROM (SELECT DISTINCT concat('src', CAST(doc_id % 30 AS STRING)) AS workspace_id FROM documents) w WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.source = w.workspace_id)", _DOCS),
     "source_scan": Query(lambda d: f"SELECT source, page, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY page) AS BIGINT) AS n FROM (SELECT source, CAST(page AS BIGINT) AS page, doc_id FROM ({fx.pages(d)})) WHERE source = 'src3'", _DOCS),
     "chat_tail5": Query(lambda d: "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 5", ("conversations",)),
-    "search_candidates": Query(lambda d: f"SELECT sid, pos, item FROM (SELECT sid, {geo.candidates(d, 'text')} AS parts FROM ({_snippets(d)})), {d.explode('parts')}", _DOCS),
+    "search_candidates": Query(lambda d: f"SELECT sid, pos, item FROM (SELECT sid, {geo.candidates(d, 'text')} AS parts FROM ({_whole(d)})), {d.explode('parts')}", _DOCS),
     "word_windows": _geometry(lambda d: geo.word_windows(d, "snippets"), lambda d: "SELECT sid, source, CAST(page AS BIGINT) AS page, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT) AS n FROM windows_found"),
     "line_overlap": _geometry(lambda d: geo.line_overlap(d, "snippets"), lambda d: "SELECT sid, source, CAST(page AS BIGINT) AS page, block_no, line_no, round(coverage, 5) AS coverage FROM lines_found"),
-    "highlight_name": Query(lambda d: f"SELECT sid, {geo.highlight_name(d, 'concat(source, ' + d.lit('.pdf') + ')', d.array(['text']), d.array(['CAST(sid AS STRING)']), d.lit('yellow'))} AS name FROM ({_snippets(d)})", _DOCS),
+    "highlight_name": Query(lambda d: f"SELECT sid, {geo.highlight_name(d, 'concat(source, ' + d.lit('.pdf') + ')', d.array(['text']), d.array(['CAST(sid AS STRING)']), d.lit('yellow'))} AS name FROM ({_whole(d)})", _DOCS),
     "rect_merge": rect_merge,
     "workspace_id_new": workspace_id_new,
 }
