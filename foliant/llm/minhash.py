@@ -6,17 +6,21 @@
    signatures that differ in at most MAX_DISTANCE symbols differ in at most one symbol in
    some chunk (pigeonhole); every class is entered once for each chunk and each symbol of it
    left out, so such a pair shares an entry: none is missed.
-3. In each entry every class is measured against the entry's smallest class, its lead: the
-   size of the intersection, which of the lead's shingles it has (bits), and a small Bloom
-   filter of its others. Sets that confirm a link join components.
-4. Members of one lead that are still in different components are compared by their bits and
-   filters, whole blocks at once as matrix products, which bound the intersection from above;
-   only pairs whose bound allows a link are returned, and full sets confirm them. Members too
-   far from their lead are compared by signature within their entry. So a group of thousands
-   of loose copies is decided without a row for each of its pairs.
+3. In each entry every class is measured against the entry's smallest class, its lead, on full
+   sets: their sizes, and the shingles that only one of them has (its difference). Sets that
+   confirm a link join components.
+4. Members of one lead that are still in different components are decided on exact differences:
+   for members i and j of a lead of L shingles, with d shingles of the lead missing and r others,
+   w = 100 d + percent r, they link exactly if
+   ``w_i + w_j <= (100 - percent) L + (100 + percent) x`` where x is what their differences
+   share. With x = 0 both are linked to the lead already, so a pair that matters shares some
+   difference: only members that meet in the rare-first prefixes of their differences are
+   compared, inside the task, where components join at once. At most one link for each member
+   is returned, so no row stands for a pair. A lead whose members' differences exceed
+   GROUP_ELEMENTS is dealt over tasks by the elements of the prefixes.
 
 At a similarity of 0.85 a linked pair differs in 4.8 of 32 symbols on average and in more
-than MAX_DISTANCE with a chance of about 2e-6; at 0.8, 1e-4.
+than MAX_DISTANCE with a chance of 3.5e-6; at 0.8, 1.4e-4.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.llm import bytehash as bh
@@ -41,15 +45,13 @@ WIDTH = SYMBOLS // CHUNKS
 #: Errors allowed in a chunk, by leaving that many symbols out.
 CHUNK_ERRORS = 1
 MAX_DISTANCE = CHUNKS * (CHUNK_ERRORS + 1) - 1
-#: A class this many symbols from its lead or nearer is measured against it.
-LEAD_DISTANCE = 20
-#: Members of an entry from which it is split by a second pigeonhole.
-SPLIT_ENTRY = 5_000
-#: Bits of the filter of shingles that the lead lacks.
-FILTER_BITS = 512
-BLOCK = 512
-#: Ids of texts to fetch for verification are broadcast up to this count (about 16 MB).
-BROADCAST_IDS = 500_000
+#: Elements of the differences of a lead's members that one task takes; more are dealt out by element.
+GROUP_ELEMENTS = 4_000_000
+#: Pairs of members are compared in runs of about this many elements.
+PAIR_ELEMENTS = 2_000_000
+#: Ids to join are broadcast up to this many bytes, with ROW_BYTES added for each; more are shuffled.
+BROADCAST_BYTES = 8 << 20
+ROW_BYTES = 24
 
 _U = np.uint64
 _MULTIPLIER = bh.mix(np.arange(1, SYMBOLS + 1, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)
@@ -97,22 +99,6 @@ def _entries(sig: np.ndarray) -> np.ndarray:
     return np.array(keys).T
 
 
-def _split_entries(sig: np.ndarray) -> np.ndarray:
-    """Keys of the second pigeonhole: each chunk with two of its symbols left out.
-
-    Of a pair within MAX_DISTANCE that shares an entry of one chunk, the other CHUNKS - 1 have
-    at most MAX_DISTANCE errors, so one of them has at most two. The entry's own chunk is
-    among these too; it only adds keys.
-    """
-    s = sig.astype(_U)
-    keys = []
-    for c in range(CHUNKS):
-        for i in range(WIDTH):
-            for j in range(i + 1, WIDTH):
-                keys.append((_U(c * 16 + i * WIDTH + j) << _U(32)) | (s[:, c * WIDTH + i] << _U(16)) | s[:, c * WIDTH + j])
-    return np.array(keys).T
-
-
 def _as_symbols(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SYMBOLS)
 
@@ -139,7 +125,7 @@ def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets_of(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
     """(fp, shingles) of the texts of the given ids, one row for each set."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    few = _is_small(ids, "rep")
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     base = base.join(F.broadcast(ids) if few else ids, base["id"].eqNullSafe(ids["rep"]), "left_semi").select("t")
 
@@ -155,6 +141,12 @@ def _sets_of(df: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataF
     return base.mapInArrow(work, "fp binary, shingles array<long>").dropDuplicates(["fp"])
 
 
+def _is_small(ids: DataFrame, column: str) -> bool:
+    """Whether a column of ids is small enough to be broadcast, by its bytes."""
+    held = ids.agg(F.sum(F.octet_length(F.coalesce(F.col(column).cast("string"), F.lit(""))) + ROW_BYTES)).first()[0]
+    return (held or 0) <= BROADCAST_BYTES
+
+
 def _joined_sets(pairs: DataFrame, classes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
     """``pairs`` (a, na, b, nb) with the shingles of both as sa and sb, and the tables to drop when they are read."""
     pairs = written(pairs, "pairs")
@@ -170,67 +162,171 @@ def _linked(percent: int):
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, lead b) with their intersection, a's bits over b's set and the filter of a's other shingles."""
+    """Pairs (a, lead b) with their intersection and the shingles that only one of the two has."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            both, bits, rest = [], [], []
+            both, diff = [], []
             for i in range(part.num_rows):
                 x, lead = (np.asarray(part.column(c)[i].values) for c in (4, 5))
-                has = np.isin(lead, x, assume_unique=True)
-                other = x[np.isin(x, lead, assume_unique=True, invert=True)].view(_U)
-                slots = np.zeros(FILTER_BITS, bool)
-                slots[(bh.mix(other) % _U(FILTER_BITS)).astype(np.int64)] = True
-                both.append(int(has.sum()))
-                bits.append(np.packbits(has).tobytes())
-                rest.append(np.packbits(slots).tobytes())
-            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(both, pa.int64()), pa.array(bits, pa.binary()), pa.array(rest, pa.binary())], names=["a", "na", "b", "nb", "both", "bits", "rest"])
-
-
-def _bounded(percent: int):
-    """Pairs of one lead's members in different components whose intersection may be large enough.
-
-    Rows come sorted by lead. What two members share is what they share of the lead, counted
-    exactly, and at most as many others as the smaller filter hit allows: of the
-    r others of a member, those whose slot is empty in the other's filter are not shared, and
-    at most ``r - empty slots of its own filter unmatched`` are left.
+                one = np.setxor1d(x, lead, assume_unique=True)
+                both.append((len(x) + len(lead) - len(one)) // 2)
+                diff.append(one.tobytes())
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(both, pa.int64()), pa.array(diff, pa.binary())], names=["a", "na", "b", "nb", "both", "diff"])
+
+
+def _least_shared(weight: np.ndarray, lead_size: np.ndarray, percent: int) -> np.ndarray:
+    """What a member's difference shares at least with that of a partner whose link still matters.
+
+    A partner of a member that is linked to the lead is not, so the pair's weights exceed
+    ``(100 - percent) L``. A partner of another member has a difference that can hold x elements
+    only with a weight of ``percent / 100 * (w - (100 - percent) L)`` or more.
+    """
+    over = weight - (100 - percent) * lead_size
+    return np.where(over <= 0, weight // (100 + percent) + 1, np.maximum(1, -(-over // 100)))
+
+
+class _Groups:
+    """Components of a task's members; joining two is remembered as a link."""
+
+    def __init__(self, labels: np.ndarray):
+        self.root = np.arange(int(labels.max()) + 1 if len(labels) else 0)
+        self.labels = labels
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        return self.root[self.labels[rows]]
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Joins the components of rows x and y pairwise; the positions of pairs that joined two."""
+        new, parent = [], self.root
+        for k, (a, b) in enumerate(zip(self.labels[x].tolist(), self.labels[y].tolist(), strict=True)):
+            while parent[a] != a:
+                a = parent[a]
+            while parent[b] != b:
+                b = parent[b]
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                new.append(k)
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+        return np.array(new, np.int64)
+
+
+def member_links(root: np.ndarray, size: np.ndarray, lead_size: int, both: np.ndarray, diffs: list[np.ndarray], percent: int, prefixes: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links (pairs of rows) that join the components of one lead's members as far as all their links would.
+
+    ``prefixes``, where given, are the elements to meet by; else each difference's elements
+    but the last ``least shared - 1``, from those that fewest members have on.
     """
+    missing, other = lead_size - both, size - both
+    weight = 100 * missing + percent * other
+    count = np.array([len(x) for x in diffs])
+    owner = np.repeat(np.arange(len(diffs)), count)
+    _, code, often = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
+    held = np.sort(owner * len(often) + code)  # the differences, for looking up
+    begin = np.concatenate([[0], np.cumsum(count)])
+    if prefixes is None:
+        order = np.lexsort((code, often[code], owner))
+        rank = np.arange(len(owner)) - begin[owner]
+        within = rank < (count - _least_shared(weight, np.full(len(weight), lead_size), percent) + 1)[owner]
+        who, what = owner[within], code[order][within]
+    else:
+        who = np.repeat(np.arange(len(diffs)), [len(x) for x in prefixes])
+        _, what = np.unique(np.concatenate(prefixes), return_inverse=True)
+    by = np.lexsort((weight[who], what))
+    who, what = who[by], what[by]
+    first = np.concatenate([[True], what[1:] != what[:-1]]) if len(what) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(what)), 0))
+    groups, links, step = _Groups(root), [], 0
+    at = np.arange(len(what))
+    while True:
+        # Each list's member number ``step`` meets those behind it that are in other components.
+        at = at[at > start[at] + step]
+        if not len(at):
+            return links
+        x, y = who[start[at] + step], who[at]
+        apart = groups.of(x) != groups.of(y)
+        if step % 8 == 7:  # lists that are in one component are done
+            mixed = np.zeros(len(what) + 1, bool)
+            now = groups.of(who)
+            mixed[start[now != now[start]]] = True
+            at, apart, x, y = (v[mixed[start[at]]] for v in (at, apart, x, y))
+        x, y = x[apart], y[apart]
+        if len(x):
+            pairs = np.unique(np.minimum(x, y) * len(diffs) + np.maximum(x, y))
+            x, y = pairs // len(diffs), pairs % len(diffs)
+            # The fewer elements are looked up among the more.
+            swap = count[x] > count[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            cut = np.cumsum(count[x]) // PAIR_ELEMENTS
+            for k in np.unique(cut):
+                i, j = x[cut == k], y[cut == k]
+                still = groups.of(i) != groups.of(j)
+                i, j = i[still], j[still]
+                if not len(i):
+                    continue
+                n = count[i]
+                pair = np.repeat(np.arange(len(i)), n)
+                element = code[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + begin[i][pair]]
+                key = j[pair] * len(often) + element
+                place = np.minimum(np.searchsorted(held, key), len(held) - 1)
+                shared = np.bincount(pair[held[place] == key], minlength=len(i))
+                linked = np.flatnonzero(weight[i] + weight[j] <= (100 - percent) * lead_size + (100 + percent) * shared)
+                for k2 in linked[groups.join(i[linked], j[linked])] if len(linked) else ():
+                    links.append((int(i[k2]), int(j[k2])))
+        step += 1
+
 
-    def pairs_of(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        n, nb, both = (rows.column(i).to_numpy() for i in (1, 3, 4))
-        roots = np.array(rows.column(7).to_pylist(), object)
-        _, root = np.unique(roots, return_inverse=True)
-        if root.max() == 0:
-            return
-        unpack = lambda i, width: np.unpackbits(np.frombuffer(b"".join(rows.column(i).to_pylist()), np.uint8).reshape(len(n), -1), axis=1)[:, :width].astype(np.float32)
-        of_lead, slots = unpack(5, int(nb[0])), unpack(6, FILTER_BITS)
-        used, others = slots.sum(1), n - both
-        order = np.argsort(n, kind="stable")
-        for at in range(0, len(n), BLOCK):
-            mine = order[at : at + BLOCK]
-            # Sizes must be near; partners are the rows from here on.
-            last = int(np.searchsorted(n[order], 100 * n[mine[-1]] / percent, "right"))
-            theirs = order[at:last]
-            for k in range(0, len(theirs), 8 * BLOCK):
-                y = theirs[k : k + 8 * BLOCK]
-                common = of_lead[mine] @ of_lead[y].T
-                hits = slots[mine] @ slots[y].T
-                # A member with r others in s slots has at most r - (s - hits) of them in hit slots.
-                extra = np.minimum(others[mine][:, None] - used[mine][:, None] + hits, others[y][None] - used[y][None] + hits)
-                extra = np.where(hits == 0, 0, extra)
-                most = common + extra
-                i, j = np.nonzero((root[mine][:, None] != root[y][None]) & (100 * most >= percent * (n[mine][:, None] + n[y][None] - most)))
-                later = at + i < at + k + j
-                a, b = pa.array(mine[i[later]]), pa.array(y[j[later]])
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(a), rows.column(1).take(a), rows.column(0).take(b), rows.column(1).take(b)], names=["a", "na", "b", "nb"])
+def _decided(percent: int):
+    """Links among the members of each lead, from rows sorted by lead and part."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, ["b"]):
-            yield from pairs_of(rows)
+        for rows in _grouped(batches, ["b", "sub"]):
+            _, root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
+            if root.max() == 0:
+                continue
+            size, both = rows.column("na").to_numpy(), rows.column("both").to_numpy()
+            diffs = [np.frombuffer(x, np.int64) for x in rows.column("diff").to_pylist()]
+            prefixes = None
+            if rows.column("prefix").null_count == 0:
+                prefixes = [np.array(x, np.int64) for x in rows.column("prefix").to_pylist()]
+            links = member_links(root, size, rows.column("nb")[0].as_py(), both, diffs, percent, prefixes)
+            if links:
+                x, y = (pa.array(v) for v in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([rows.column("a").take(x), rows.column("a").take(y)], names=["a", "b"])
 
     return work
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(b, a, n, most, element) rows of differences; ``most`` is how many of them stand in the prefix."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            diffs = [np.frombuffer(x, np.int64) for x in part.column(2).to_pylist()]
+            again = pa.array(np.repeat(np.arange(len(diffs)), [len(x) for x in diffs]))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(again), part.column(1).take(again), part.column(3).take(again), part.column(4).take(again), pa.array(np.concatenate(diffs))], names=["b", "a", "most", "parts", "element"])
+
+
+def _dealt(members: DataFrame, big: DataFrame, percent: int) -> DataFrame:
+    """The members of leads with many elements, once for each part of the elements by which they meet.
+
+    The elements that fewest members of the lead have come first. ``big`` is (b, parts).
+    """
+    few = members.join(big, "b")
+    missing, other = F.col("nb") - F.col("both"), F.col("na") - F.col("both")
+    weight = 100 * missing + percent * other
+    over = weight - (100 - percent) * F.col("nb")
+    least = F.when(over <= 0, F.floor(weight / (100 + percent)) + 1).otherwise(F.greatest(F.lit(1), F.ceil(over / 100)))
+    rows = few.select("b", "a", "diff", (missing + other - least + 1).cast("long").alias("most"), "parts")
+    rows = rows.mapInArrow(_elements, "b binary, a binary, most long, parts long, element long")
+    often = rows.groupBy("b", "element").agg(F.count("*").alias("often")).where("often > 1")
+    order = Window.partitionBy("b", "a").orderBy(F.coalesce("often", F.lit(1)), "element")
+    met = rows.join(often, ["b", "element"], "left").withColumn("rank", F.row_number().over(order)).where("rank <= most and often is not null")
+    met = met.groupBy("b", "a", (F.pmod(F.xxhash64("element"), F.col("parts")) + 1).alias("sub")).agg(F.collect_list("element").alias("prefix"))
+    return members.join(met, ["b", "a"]).select("b", "sub", "a", "na", "nb", "both", "diff", "root", "prefix")
+
+
 def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
     """Whole groups of rows sorted by ``by``, one at a time."""
     held: list[pa.RecordBatch] = []
@@ -252,29 +348,6 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Re
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _far_pairs(percent: int):
-    """Pairs of an entry's members, one of them far from the lead, in different components and within MAX_DISTANCE."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _grouped(batches, ["key", "sub"]):
-            n, far = rows.column("n").to_numpy(), rows.column("far").to_numpy(zero_copy_only=False)
-            _, root = np.unique(np.array(rows.column("root").to_pylist(), object), return_inverse=True)
-            sig = _as_symbols(rows.column("sig"))
-            some = np.flatnonzero(far)
-            step = max(1, 2_000_000 // (SYMBOLS * len(n)) + 1)
-            for at in range(0, len(some), step):
-                mine = some[at : at + step]
-                apart = (sig[mine][:, None] != sig[None]).sum(2)
-                near = (apart <= MAX_DISTANCE) & (root[mine][:, None] != root[None]) & (100 * np.minimum(n[mine][:, None], n[None]) >= percent * np.maximum(n[mine][:, None], n[None]))
-                near &= ~far[None] | (mine[:, None] < np.arange(len(n))[None])
-                i, j = np.nonzero(near)
-                a, b = pa.array(mine[i]), pa.array(j)
-                fp, size = rows.column("fp"), rows.column("n")
-                yield pa.RecordBatch.from_arrays([fp.take(a), size.take(a), fp.take(b), size.take(b)], names=["a", "na", "b", "nb"])
-
-    return work
-
-
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """Groups of documents linked, directly or in steps, by a similarity of ``percent`` or more.
 
@@ -290,30 +363,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = written(filled.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     entries = classes.select("fp", "n", "sig").mapInArrow(_enter, "fp binary, n long, key long")
     least = entries.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("lead"), F.max("fp").alias("most")).where(F.col("lead.fp") != F.col("most"))
-    shared = written(entries.join(least.select("key", "lead"), "key"), "entries")
-    sig = lambda side: classes.select(F.col("fp").alias(side), F.col("sig").alias(f"sig_{side}"))
+    shared = written(entries.join(least.select("key", "lead"), "key").select("fp", "n", "lead"), "entries")
     star = shared.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("lead.fp").alias("b"), F.col("lead.n").alias("nb")).where("a != b").distinct()
-    star = star.join(sig("a"), "a").join(sig("b"), "b").select("a", "na", "b", "nb", "sig_a", "sig_b").mapInArrow(_near, "a binary, na long, b binary, nb long")
     joined, spent = _joined_sets(star, classes, df, id_col, text_col)
-    measured = written(joined.mapInArrow(_measured, "a binary, na long, b binary, nb long, both long, bits binary, rest binary"), "measured")
-    dropped(*spent)
+    measured = written(joined.mapInArrow(_measured, "a binary, na long, b binary, nb long, both long, diff binary"), "measured")
+    dropped(*spent, shared)
     links = measured.where(_linked(percent)).select("a", "b")
     roots = written(connected_components(links), "roots")
 
     rooted = measured.join(roots, measured["a"] == roots["node"], "left").withColumn("root", F.coalesce("root", "a")).drop("node")
-    split = rooted.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("b")
-    members = rooted.join(split, "b", "left_semi").select("a", "na", "b", "nb", "both", "bits", "rest", "root")
-    pairs = members.repartition("b").sortWithinPartitions("b").mapInArrow(_bounded(percent), "a binary, na long, b binary, nb long")
-
-    near_lead = measured.select(F.col("a").alias("x"), F.col("b").alias("of"))
-    placed = shared.join(near_lead, (shared["fp"] == near_lead["x"]) & (F.col("lead.fp") == near_lead["of"]), "left").select("key", "fp", "n", (F.col("x").isNull() & (F.col("fp") != F.col("lead.fp"))).alias("far"))
-    wide = placed.groupBy("key").agg(F.max("far").alias("any"), F.count("*").alias("held")).where("any and held > 2").select("key", "held")
-    left = placed.join(wide, "key").join(roots, placed["fp"] == roots["node"], "left").select("key", "held", "n", "far", F.coalesce("root", "fp").alias("root"), "fp").join(classes.select("fp", "sig"), "fp")
-    left = left.mapInArrow(_enter_split, "key long, sub long, fp binary, n long, far boolean, root binary, sig binary").repartition("key", "sub").sortWithinPartitions("key", "sub")
-    far = left.mapInArrow(_far_pairs(percent), "a binary, na long, b binary, nb long")
-    joined, spent = _joined_sets(pairs.unionByName(far).select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct(), classes, df, id_col, text_col)
-    more = written(joined.withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long")).where(_linked(percent)).select("a", "b"), "confirmed")
-    dropped(*spent)
+    split = rooted.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.octet_length("diff") / 8).cast("long").alias("held")).where("low != high")
+    split = written(split.select("b", F.when(F.col("held") > GROUP_ELEMENTS, F.ceil(4 * F.col("held") / GROUP_ELEMENTS)).cast("long").alias("parts")), "split")
+    members = written(rooted.join(split.select("b"), "b", "left_semi").select("b", F.lit(0).cast("long").alias("sub"), "a", "na", "nb", "both", "diff", "root", F.lit(None).cast("array<long>").alias("prefix")), "members")
+    big = split.where("parts is not null")
+    groups = members
+    if not big.isEmpty():
+        groups = members.join(big.select("b"), "b", "left_anti").unionByName(_dealt(members.drop("sub", "prefix"), big, percent))
+    decided = groups.repartition("b", "sub").sortWithinPartitions("b", "sub", "a").mapInArrow(_decided(percent), "a binary, b binary")
+    more = written(decided, "confirmed")
     if not more.isEmpty():
         roots = written(connected_components(links.unionByName(more)), "roots")
 
@@ -334,30 +401,6 @@ def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(again), part.column(1).take(again), pa.array(keys.ravel().view(np.int64))], names=["fp", "n", "key"])
 
 
-def _enter_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds sub: one value for small entries; for others each key of the second pigeonhole."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024).select(["key", "fp", "n", "far", "root", "sig", "held"])
-            many = part.column(6).to_numpy() > SPLIT_ENTRY
-            for split in (False, True):
-                rows = part.filter(pa.array(many == split))
-                if not rows.num_rows:
-                    continue
-                subs = _split_entries(_as_symbols(rows.column(5))) if split else np.zeros((rows.num_rows, 1), _U)
-                again = pa.array(np.repeat(np.arange(rows.num_rows), subs.shape[1]))
-                taken = [rows.column(i).take(again) for i in range(6)]
-                yield pa.RecordBatch.from_arrays([taken[0], pa.array(subs.ravel().view(np.int64)), *taken[1:]], names=["key", "sub", "fp", "n", "far", "root", "sig"])
-
-
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose signatures are within LEAD_DISTANCE."""
-    for batch in batches:
-        if batch.num_rows:
-            far = (_as_symbols(batch.column(4)) != _as_symbols(batch.column(5))).sum(1)
-            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "na", "b", "nb"]).filter(pa.array(far <= LEAD_DISTANCE))
-
-
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The input's rows without near-duplicates: of each group the row with the smallest id stays.
 
@@ -365,7 +408,7 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     kept = near_duplicates(df, id_col, text_col, percent).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
     kept = written(kept, "kept")
-    few = kept.count() <= BROADCAST_IDS
+    few = _is_small(kept, "__kept_id")
     out = df.join(F.broadcast(kept) if few else kept, _same(df[id_col], kept["__kept_id"]), "left_semi")
     repeated = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
     if repeated.isEmpty():

@@ -54,9 +54,9 @@ def corpus(seed):
     return [(None, texts[20]), (None, "alone among the null ids"), (5000, texts[21]), (5000, texts[21]), (5000, "other text under this id"), *rows]
 
 
-@pytest.mark.parametrize(("percent", "split"), [(85, 100), (80, 1)])
+@pytest.mark.parametrize(("percent", "split"), [(85, 4_000_000), (80, 1)])
 def test_groups_match_brute_force(spark, monkeypatch, percent, split):
-    monkeypatch.setattr(minhash, "SPLIT_ENTRY", split)
+    monkeypatch.setattr(minhash, "GROUP_ELEMENTS", split)
     rows = corpus(percent)
     df = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, n long").repartition(6)
     got = sorted((tuple(r) for r in minhash.near_duplicates(df, percent=percent).collect()), key=str)
