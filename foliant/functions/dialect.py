@@ -29,6 +29,12 @@ class Dialect:
     def array(self, items: list[str]) -> str:
         return f"array({', '.join(items)})" if self.spark else f"[{', '.join(items)}]"
 
+    def record(self, fields: dict[str, str]) -> str:
+        """A struct of named fields."""
+        if self.spark:
+            return f"named_struct({', '.join(f'{self.lit(k)}, {v}' for k, v in fields.items())})"
+        return "{" + ", ".join(f"{self.lit(k)}: {v}" for k, v in fields.items()) + "}"
+
     def words(self, items: tuple[str, ...] | list[str]) -> str:
         return self.array([self.lit(x) for x in items])
 
@@ -125,7 +131,10 @@ class Dialect:
         return self.size(f"array_intersect({a}, {b})" if self.spark else f"list_intersect({a}, {b})")
 
     def subset(self, a: str, b: str) -> str:
-        return f"(NOT {self.any(a, lambda x: f'NOT {self.has(b, x)}')})"
+        """Whether all of a are in b; b is computed once, not for each of a."""
+        if self.spark:
+            return f"(size(array_except({a}, {b})) = 0)"
+        return self.let(b, lambda v: f"(NOT {self.any(a, lambda x: f'NOT {self.has(v, x)}')})")
 
     def total(self, a: str) -> str:
         if self.spark:

@@ -13,6 +13,7 @@ FRONT_MAX_CHARS = 2500
 MIN_PAGE_CHARS = 300
 MIN_SECTION_CHARS = 120
 
+# The forms of numbered headings and contents entries.
 _NUMBER = r"(?:\d+\.)+\d+"
 _TITLE = r"[A-Z][A-Za-z0-9/&()' -]{2,120}?"
 _AFTER = r"\s+(?:Estimation time in total:|NO ACTION)"

@@ -10,30 +10,31 @@ STOP_WORDS = ("how", "what", "when", "where", "which", "who", "why", "tell", "me
 #: The section ranker keeps these three.
 RANKER_STOP_WORDS = tuple(w for w in STOP_WORDS if w not in ("tell", "me", "about"))
 
-# Synonyms by word.
+# Synonyms by word, in the alphabetical order in which they are added.
 SYNONYMS = {
-    "add": "add create insert new register",
-    "create": "add create insert new register",
-    "insert": "add create insert",
-    "new": "add create new",
-    "edit": "change edit modify revise update",
-    "update": "change edit modify revise update",
-    "modify": "change edit modify update",
-    "change": "change edit modify update",
-    "delete": "delete drop erase remove",
-    "remove": "delete drop erase remove",
-    "erase": "delete erase remove",
-    "record": "record records rr",
-    "records": "record records rr",
-    "rr": "record records resource rr",
-    "resource": "resource resources rr",
-    "resources": "resource resources rr",
-    "flush": "clear flush purge refresh",
-    "clear": "clear flush purge",
-    "resolve": "check lookup resolve test verify",
-    "test": "check resolve test verify",
-    "verify": "check resolve test verify",
+    "add": ("add", "create", "insert", "new", "register"),
+    "create": ("add", "create", "insert", "new", "register"),
+    "insert": ("add", "create", "insert"),
+    "new": ("add", "create", "new"),
+    "edit": ("change", "edit", "modify", "revise", "update"),
+    "update": ("change", "edit", "modify", "revise", "update"),
+    "modify": ("change", "edit", "modify", "update"),
+    "change": ("change", "edit", "modify", "update"),
+    "delete": ("delete", "drop", "erase", "remove"),
+    "remove": ("delete", "drop", "erase", "remove"),
+    "erase": ("delete", "erase", "remove"),
+    "record": ("record", "records", "rr"),
+    "records": ("record", "records", "rr"),
+    "rr": ("record", "records", "resource", "rr"),
+    "resource": ("resource", "resources", "rr"),
+    "resources": ("resource", "resources", "rr"),
+    "flush": ("clear", "flush", "purge", "refresh"),
+    "clear": ("clear", "flush", "purge"),
+    "resolve": ("check", "lookup", "resolve", "test", "verify"),
+    "test": ("check", "resolve", "test", "verify"),
+    "verify": ("check", "resolve", "test", "verify"),
 }
+# What a question or title asks for.
 ACTIONS = ("add", "edit", "delete", "create", "update", "remove")
 #: Pairs of actions that mean the same.
 ALIKE = (("add", "create"), ("edit", "update"), ("delete", "remove"))
@@ -70,7 +71,7 @@ def summary(d: Dialect, terms: str, phrases: str) -> str:
 
 def synonyms(d: Dialect, word: str) -> str:
     """Synonyms of a word in alphabetical order, itself among them; none for a word without."""
-    cases = " ".join(f"WHEN {d.lit(k)} THEN {d.words(v.split())}" for k, v in SYNONYMS.items())
+    cases = " ".join(f"WHEN {d.lit(k)} THEN {d.words(v)}" for k, v in SYNONYMS.items())
     return f"CASE {word} {cases} ELSE {d.none()} END"
 
 

@@ -122,9 +122,10 @@ _ESTIMATE = r"(?i)\bestimation time(\s+in\s+total)?\s*:"
 
 
 def without_estimates(d: Dialect, x: str) -> str:
-    """Without lines that state an estimation time; at most one blank line in a row."""
+    """Without lines that state an estimation time, nor one that goes on over line ends; at most one blank line in a row."""
     kept = d.where(lines(d, x), lambda v: f"NOT {d.matches(v, _ESTIMATE)}")
-    return trim(d, d.replace(d.join(kept, "\n"), r"\n{3,}", "\n\n"))
+    spanning = d.replace(d.join(kept, "\n"), _ESTIMATE + r"\s*[^\n]*")
+    return trim(d, d.replace(spanning, r"\n{3,}", "\n\n"))
 
 
 def clean(d: Dialect, x: str) -> str:
@@ -206,3 +207,18 @@ def overview(d: Dialect, first: str) -> str:
     """The first sentence of the first point, at most 20 words."""
     sentence = d.extract(f"coalesce({first}, '')", r"^[^.]*")
     return d.let(space_words(d, sentence), lambda w: f"CASE WHEN {d.size(w)} > 20 THEN {shorten(d, w, 20)} ELSE {trim(d, sentence)} END")
+
+
+def opening(d: Dialect, first: str) -> str:
+    """The first 25 words of the first point and an ellipsis, always; nothing without a point."""
+    return f"CASE WHEN {first} IS NULL THEN '' ELSE {d.join(d.slice(space_words(d, first), '1', '25'))} || '...' END"
+
+
+def rest(d: Dialect, points: str) -> str:
+    """All points but the first."""
+    return f"CASE WHEN {d.size(points)} <= 1 THEN {d.none()} ELSE {d.slice(points, '2', f'greatest({d.size(points)} - 1, 1)')} END"
+
+
+def encoded(d: Dialect, x: str) -> str:
+    """Base64 of a text's UTF-8 bytes."""
+    return f"replace(base64(encode({x}, 'UTF-8')), concat(chr(13), chr(10)), '')" if d.spark else f"base64(encode({x}))"

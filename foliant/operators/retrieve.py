@@ -12,21 +12,25 @@ from foliant.functions import query as q
 from foliant.functions import scoring as s
 from foliant.functions import text as t
 from foliant.functions.dialect import Dialect
+from foliant.operators.steps import Step
 
 FETCH = 20
 KEEP = 8
 TITLE_GATE = 6
 PRIORITY_SCORE = 16
 
-Step = tuple[str, str]
+
+def dot(d: Dialect, a: str, b: str) -> str:
+    if not d.spark:
+        return f"list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)"
 
 
 def cosine(d: Dialect, a: str, b: str) -> str:
     """Cosine of two vectors in double precision; null where one is null or zero."""
     if not d.spark:
         return f"list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
-    dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)"
-    return f"{dot(a, b)} / nullif(sqrt({dot(a, a)}) * sqrt({dot(b, b)}), 0)"
+    return f"{dot(d, a, b)} / nullif(sqrt({dot(d, a, a)}) * sqrt({dot(d, b, b)}), 0)"
 
 
 def analysed(d: Dialect, questions: str) -> Step:
@@ -34,10 +38,17 @@ def analysed(d: Dialect, questions: str) -> Step:
 
 
 def nearest(d: Dialect, fetch: int = FETCH) -> list[Step]:
-    """``near``: the ``fetch`` chunks of its workspace that are nearest to each question, ranked from 0."""
-    cos = cosine(d, "a.vec", "c.vec")
+    """``near``: the ``fetch`` chunks of its workspace that are nearest to each question, ranked from 0.
+
+    A vector's length is computed once a row, not for each pair. The questions are a table of
+    known size by then, so a batch of few is broadcast and the chunks stay where they are;
+    beyond, a large workspace is split as a skewed join key.
+    """
+    length = lambda table: f"SELECT *, nullif(sqrt({dot(d, 'vec', 'vec')}), 0) AS len FROM {table}"
     return [
-        ("measured", f"SELECT a.question_id, c.chunk_id, round({cos}, 6) AS cos FROM asked a JOIN chunks c ON a.workspace_id = c.workspace_id"),
+        ("asked_vectors", length("(SELECT question_id, workspace_id, vec FROM asked)")),
+        ("chunk_vectors", length("(SELECT chunk_id, workspace_id, vec FROM chunks)")),
+        ("measured", f"SELECT a.question_id, c.chunk_id, round({dot(d, 'a.vec', 'c.vec')} / (a.len * c.len), 6) AS cos FROM asked_vectors a JOIN chunk_vectors c ON a.workspace_id = c.workspace_id"),
         ("placed", "SELECT question_id, chunk_id, cos, row_number() OVER (PARTITION BY question_id ORDER BY cos DESC, chunk_id) - 1 AS place FROM measured WHERE cos IS NOT NULL"),
         ("near", f"SELECT p.place, p.cos, a.question_id, a.question, a.terms, a.phrases, a.keywords, a.expanded, a.words, c.chunk_id, c.workspace_id, c.source, c.page, c.section, c.page_content, c.entries, {g.headings(d, 'c.page_content')} AS headings FROM (SELECT * FROM placed WHERE place < {fetch}) p JOIN asked a ON p.question_id = a.question_id JOIN chunks c ON p.chunk_id = c.chunk_id"),
     ]
@@ -81,7 +92,7 @@ def reranked(d: Dialect) -> list[Step]:
         ("filled", "SELECT *, row_number() OVER (PARTITION BY question_id, leads ORDER BY CASE WHEN leads THEN n ELSE 0 END, round(score, 9) DESC, place) AS k FROM parted"),
         ("retrieved", f"""SELECT question_id, chunk_id, CAST(0 AS BIGINT) AS idx, 'strict' AS branch FROM strict_best
             UNION ALL SELECT question_id, chunk_id, CAST(CASE WHEN leads THEN k ELSE n_leads + k END - 1 AS BIGINT) AS idx, CASE WHEN n_leads > 0 THEN 'contents' ELSE 'default' END AS branch
-            FROM filled WHERE (leads OR k <= CASE WHEN n_leads > 0 THEN greatest({KEEP} - n_leads, 1) ELSE {KEEP} END) AND question_id NOT IN (SELECT question_id FROM strict_best)"""),
+            FROM filled f WHERE (leads OR k <= CASE WHEN n_leads > 0 THEN greatest({KEEP} - n_leads, 1) ELSE {KEEP} END) AND NOT EXISTS (SELECT 1 FROM strict_best b WHERE b.question_id = f.question_id)"""),
     ]
 
 

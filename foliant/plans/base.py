@@ -8,21 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.functions.dialect import DUCK, SPARK, Dialect
-from foliant.sources.scratch import written
+from foliant.operators.steps import Step, chain, run_steps
 
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
-def chain(steps: list[tuple[str, str]], last: str) -> str:
-    """A query over named steps."""
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in steps) + "\n" + last if steps else last
+__all__ = ["Query", "Stated", "Steps", "chain", "run"]
 
 
 def run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     """Run SQL over the given DataFrames under their names."""
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    return run_steps(spark, [], sql, tables)
+
+
+def _read(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> dict[str, DataFrame]:
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
 
 
 @dataclass(frozen=True)
@@ -33,7 +30,7 @@ class Query:
     tables: tuple[str, ...]
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return run(spark, self.sql(SPARK), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in self.tables})
+        return run(spark, self.sql(SPARK), **_read(spark, sf_dir, self.tables))
 
     def oracle(self) -> str:
         return self.sql(DUCK)
@@ -43,23 +40,31 @@ class Query:
 class Steps:
     """A registered query of named steps. On Spark, the steps in ``keep`` are written once for all their readers."""
 
-    steps: Callable[[Dialect], list[tuple[str, str]]]
+    steps: Callable[[Dialect], list[Step]]
     last: Callable[[Dialect], str]
     tables: tuple[str, ...]
     keep: tuple[str, ...] = ()
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.over(spark, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in self.tables})
+        return self.over(spark, **_read(spark, sf_dir, self.tables))
 
     def over(self, spark: SparkSession, **tables: DataFrame) -> DataFrame:
-        for name, df in tables.items():
-            df.createOrReplaceTempView(name)
-        for name, body in self.steps(SPARK):
-            df = spark.sql(body)
-            if name in self.keep:
-                df = written(df, name)
-            df.createOrReplaceTempView(name)
-        return spark.sql(self.last(SPARK))
+        return run_steps(spark, self.steps(SPARK), self.last(SPARK), tables, self.keep)
 
     def oracle(self) -> str:
         return chain(self.steps(DUCK), self.last(DUCK))
+
+
+@dataclass(frozen=True)
+class Stated:
+    """A call over the driver's tables, and the SQL that says what it gives."""
+
+    call: Callable[..., DataFrame]
+    sql: str
+    tables: tuple[str, ...]
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.call(**_read(spark, sf_dir, self.tables))
+
+    def oracle(self) -> str:
+        return self.sql

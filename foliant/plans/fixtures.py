@@ -49,3 +49,11 @@ def questions(d: Dialect) -> str:
 
 def user_turns(d: Dialect) -> str:
     return "SELECT conv_id, turn, text AS question FROM conversations WHERE role = 'user'"
+
+
+def ingested_pages(d: Dialect) -> str:
+    """Documents as pages with a file path; each second one with headings, and some sources with a contents page after their second page."""
+    text = "CASE WHEN p.doc_id % 2 = 0 THEN s.text ELSE p.text END"
+    return f"""SELECT p.workspace_id, p.source, concat('uploads/', p.workspace_id, '_', p.source, '.pdf') AS file_path, CAST(p.page * 2 AS BIGINT) AS page, {text} AS text
+        FROM ({pages(d)}) p JOIN ({structured(d)}) s ON p.doc_id = s.doc_id
+        UNION ALL SELECT source AS workspace_id, source, concat('uploads/', source, '_', source, '.pdf') AS file_path, CAST(3 AS BIGINT) AS page, text FROM ({contents_pages(d)}) WHERE doc_id % 2 = 1 AND source IS NOT NULL"""

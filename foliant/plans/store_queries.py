@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.functions import text as t
-from foliant.functions.dialect import SPARK, Dialect
+from foliant.functions.dialect import DUCK, SPARK, Dialect
 from foliant.operators import geometry as geo
 from foliant.plans import fixtures as fx
-from foliant.plans.base import Query, Steps, run
+from foliant.plans.base import Query, Stated, Steps, run
+from foliant.sources.store import source_rows, tail, workspaces_with_documents
 
 _DOCS = ("documents",)
 
@@ -41,19 +43,51 @@ def rect_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geo.merge_rects(words, ["source", "page"])
 
 
+def highlight_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highlights of the query set's snippets, and their first six characters, on the page that each came from and the one after."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = run(spark, _words(SPARK), documents=documents)
+    wanted = run(spark, _wanted(SPARK), documents=documents)
+    return geo.highlight_boxes(words, wanted, "green")
+
+
+def _wanted(d: Dialect) -> str:
+    made = f"SELECT p.source, p.page, s.text FROM ({_snippets(d)}) s JOIN ({fx.pages(d)}) p ON s.sid = p.doc_id"
+    return f"SELECT source, page, text FROM ({made}) UNION ALL SELECT source, page + 1 AS page, text FROM ({made}) UNION ALL SELECT source, page, substring(text, 1, 6) AS text FROM ({made})"
+
+
 def workspace_id_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT uuid() AS workspace_id")
 
 
+_NAMED = "SELECT DISTINCT concat('src', CAST(doc_id % 30 AS STRING)) AS workspace_id FROM documents"
+
+
+def _named(documents: DataFrame) -> DataFrame:
+    return documents.select(F.concat(F.lit("src"), (F.col("doc_id") % 30).cast("string")).alias("workspace_id")).distinct()
+
+
+def _owned(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("source").alias("workspace_id"))
+
+
+def _source_scan(documents: DataFrame) -> DataFrame:
+    rows = run(documents.sparkSession, fx.pages(SPARK), documents=documents)
+    return source_rows(rows, "src3", "src3").select("source", F.col("page").cast("long").alias("page"), "doc_id")
+
+
 QUERIES = {
-    "workspace_exists": Query(lambda d: "SELECT w.workspace_id FROM (SELECT DISTINCT concat('src', CAST(doc_id % 30 AS STRING)) AS workspace_id FROM documents) w WHERE EXISTS (SELECT 1 FROM documents x WHERE x.source = w.workspace_id)", _DOCS),
-    "workspace_without_docs": Query(lambda d: "SELECT w.workspace_id FROM (SELECT DISTINCT concat('src', CAST(doc_id % 30 AS STRING)) AS workspace_id FROM documents) w WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.source = w.workspace_id)", _DOCS),
-    "source_scan": Query(lambda d: f"SELECT source, page, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY page) AS BIGINT) AS n FROM (SELECT source, CAST(page AS BIGINT) AS page, doc_id FROM ({fx.pages(d)})) WHERE source = 'src3'", _DOCS),
-    "chat_tail5": Query(lambda d: "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 5", ("conversations",)),
+    "workspace_exists": Stated(lambda documents: workspaces_with_documents(_named(documents), _owned(documents)), f"SELECT workspace_id FROM ({_NAMED}) w WHERE EXISTS (SELECT 1 FROM documents x WHERE x.source = w.workspace_id)", _DOCS),
+    "workspace_without_docs": Stated(lambda documents: workspaces_with_documents(_named(documents), _owned(documents), present=False), f"SELECT workspace_id FROM ({_NAMED}) w WHERE NOT EXISTS (SELECT 1 FROM documents x WHERE x.source = w.workspace_id)", _DOCS),
+    "source_scan": Stated(_source_scan, f"SELECT source, CAST(page AS BIGINT) AS page, doc_id FROM ({fx.pages(DUCK)}) WHERE source = 'src3'", _DOCS),
+    "chat_tail5": Stated(lambda conversations: tail(conversations.select("conv_id", "turn", "role", "text"), "conv_id", "turn"), "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 5", ("conversations",)),
+    "base64_text": Query(lambda d: f"SELECT doc_id, md5({t.encoded(d, 'text')}) AS encoded_md5, CAST(length({t.encoded(d, 'text')}) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL", _DOCS),
+    "point_helpers": Query(lambda d: f"SELECT doc_id, {t.opening(d, d.get('said', '1'))} AS opening, {d.join(t.rest(d, 'said'), ' / ')} AS others FROM (SELECT doc_id, {t.sentences(d, 'text')} AS said FROM documents)", _DOCS),
     "search_candidates": Query(lambda d: f"SELECT sid, pos, item FROM (SELECT sid, {geo.candidates(d, 'text')} AS parts FROM ({_whole(d)})), {d.explode('parts')}", _DOCS),
-    "word_windows": _geometry(lambda d: geo.word_windows(d, "snippets"), lambda d: "SELECT sid, source, CAST(page AS BIGINT) AS page, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT) AS n FROM windows_found"),
+    "word_windows": _geometry(lambda d: [geo.page_words(d), *geo.word_windows(d, "snippets")], lambda d: "SELECT sid, source, CAST(page AS BIGINT) AS page, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT) AS n FROM windows_found"),
     "line_overlap": _geometry(lambda d: geo.line_overlap(d, "snippets"), lambda d: "SELECT sid, source, CAST(page AS BIGINT) AS page, block_no, line_no, round(coverage, 5) AS coverage FROM lines_found"),
     "highlight_name": Query(lambda d: f"SELECT sid, {geo.highlight_name(d, 'concat(source, ' + d.lit('.pdf') + ')', d.array(['text']), d.array(['CAST(sid AS STRING)']), d.lit('yellow'))} AS name FROM ({_whole(d)})", _DOCS),
     "rect_merge": rect_merge,
+    "highlight_pdf": highlight_pdf,
     "workspace_id_new": workspace_id_new,
 }

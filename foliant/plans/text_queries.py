@@ -7,6 +7,7 @@ from foliant.functions import query as q
 from foliant.functions import scoring as s
 from foliant.functions import text as t
 from foliant.functions.dialect import Dialect
+from foliant.operators import ingest
 from foliant.plans import fixtures as fx
 from foliant.plans.base import Query, chain
 
@@ -26,7 +27,7 @@ def _listed(d: Dialect, a: str) -> str:
 
 
 def scan_documents(d: Dialect) -> str:
-    return "SELECT doc_id, source, lang, length(text) AS chars FROM documents".replace("length(text)", _num("length(text)"))
+    return f"SELECT doc_id, source, lang, {_num('length(text)')} AS chars FROM documents"
 
 
 def scan_pages_html(d: Dialect) -> str:
@@ -46,18 +47,9 @@ def header_strip(d: Dialect) -> str:
     return f"SELECT doc_id, md5(x) AS text_md5, {_num('length(x)')} AS chars FROM (SELECT doc_id, {g.without_header(d, 'text')} AS x FROM ({fx.pages(d)}))"
 
 
-def kept_pages(d: Dialect, source: str) -> list[tuple[str, str]]:
-    """Steps that end in ``kept`` (source, page, text): pages left by all page filters."""
-    return [
-        ("raw", f"SELECT workspace_id, source, page, {t.trim(d, 'text')} AS text FROM ({source})"),
-        ("flagged", f"SELECT workspace_id, source, page, {g.without_header(d, 'text')} AS text, min(CASE WHEN {g.is_contents(d, 'text')} THEN page END) OVER (PARTITION BY workspace_id, source) AS contents_page FROM raw"),
-        ("kept", f"SELECT workspace_id, source, page, text FROM flagged WHERE CASE WHEN contents_page IS NULL THEN page > 1 ELSE page >= contents_page END AND NOT {g.is_contents(d, 'text')} AND NOT {g.is_front_matter(d, 'text')} AND NOT {g.is_version_history(d, 'text')}"),
-    ]
-
-
 def page_filter_chain(d: Dialect) -> str:
-    made = f"SELECT workspace_id, source, page, CASE WHEN page % 11 = 4 AND source LIKE '%1' THEN concat(text, chr(10), 'toc', chr(10)) WHEN page % 13 = 5 THEN concat(text, ' Author approved by x') WHEN page % 13 = 7 THEN concat('Revision history', chr(10), 'a', chr(10), 'b', chr(10), text) ELSE text END AS text FROM ({fx.pages(d)})"
-    return chain(kept_pages(d, made), f"SELECT source, {_num('page')} AS page, {_num('length(text)')} AS chars FROM kept")
+    made = f"SELECT workspace_id, source, CAST(NULL AS STRING) AS file_path, page, CASE WHEN page % 11 = 4 AND source LIKE '%1' THEN concat(text, chr(10), 'toc', chr(10)) WHEN page % 13 = 5 THEN concat(text, ' Author approved by x') WHEN page % 13 = 7 THEN concat('Revision history', chr(10), 'a', chr(10), 'b', chr(10), text) ELSE text END AS text FROM ({fx.pages(d)})"
+    return chain([("made", made), *ingest.kept_pages(d, "made")], f"SELECT source, {_num('page')} AS page, {_num('length(text)')} AS chars FROM kept")
 
 
 def section_split(d: Dialect) -> str:

@@ -9,7 +9,6 @@ import pytest
 from foliant.plans import registry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"answer_e2e", "highlight_pages", "sources_distinct"}
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +26,7 @@ def rows(columns, data):
     return sorted((tuple(r[i] for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - (SLOW - {"answer_e2e"})))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_matches_its_sql(spark, oracle, name):
     df = registry.QUERIES[name](spark, SF)
     want = oracle.sql(registry.oracle_sql()[name])
@@ -35,6 +34,6 @@ def test_query_matches_its_sql(spark, oracle, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["rect_merge", "workspace_id_new"])
+@pytest.mark.parametrize("name", ["rect_merge", "highlight_pdf", "workspace_id_new"])
 def test_query_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
