@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.storage import written
+from foliant.sources.scratch import written
 
 SHARD_BYTES = 4 << 20
 #: Bits of the hash that the directory can use.
@@ -62,7 +62,8 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Give every document a shard of at most ``limit`` bytes of text.
 
     Returns one row per input row: ``id_col``, n_bytes, depth, shard (the leaf's bits as
-    text, with ``+k`` for the k-th part of a leaf that no bit can split), shard_bytes. A null
+    text, with ``+k`` for the k-th part of a leaf that no bit can split and ``+textN`` for a large
+    text of it), shard_bytes. A null
     or empty text has 0 bytes. A single text over the limit has a shard of its own. Rows that
     repeat an id share a hash, so a hot id ends in a leaf of HASH_BITS bits; its rows are
     dealt out there by running size, a partition at a time, so no task gathers them. Other
@@ -89,20 +90,22 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _deal_out(placed: DataFrame, limit: int) -> DataFrame:
     """Split leaves of HASH_BITS bits that are over the limit into parts by running size.
 
-    A row's part is fixed by the bytes before it in its leaf; a part closes at half the limit, so
-    it exceeds the limit only where a single text is larger than half of it.
+    A text of more than half the limit is a part of its own. Another row's part is fixed by the
+    bytes before it in its leaf; a part closes at half the limit, so with its last row it holds
+    no more than the limit. Only a single text over the limit exceeds it.
     """
     hot = (F.col("depth") == HASH_BITS) & (F.col("shard_bytes") > limit)
     rows = written(placed.withColumn("at", F.monotonically_increasing_id()), "placed")
-    over = rows.where(hot).withColumn("part", F.call_function("shiftright", F.col("at"), F.lit(33)))
+    half = max(1, limit // 2)
+    over = rows.where(hot & (F.col("n_bytes") <= half)).withColumn("part", F.call_function("shiftright", F.col("at"), F.lit(33)))
     sums = over.groupBy("shard", "part").agg(F.sum("n_bytes").alias("own"))
     before = sums.select("shard", "part", (F.sum("own").over(Window.partitionBy("shard").orderBy("part")) - F.col("own")).alias("before"))
     run = F.sum("n_bytes").over(Window.partitionBy("shard", "part").orderBy("at")) - F.col("n_bytes")
-    half = max(1, limit // 2)
     dealt = over.withColumn("run", run).join(before, ["shard", "part"]).withColumn("k", F.floor((F.col("before") + F.col("run")) / half))
     parts = dealt.groupBy("shard", "k").agg(F.sum("n_bytes").alias("part_bytes"))
     dealt = dealt.join(parts, ["shard", "k"]).withColumn("shard_bytes", F.col("part_bytes")).withColumn("shard", F.concat("shard", F.lit("+"), F.col("k").cast("string")))
-    return rows.where(~hot).drop("at").unionByName(dealt.select(*placed.columns))
+    large = rows.where(hot & (F.col("n_bytes") > half)).withColumn("shard", F.concat("shard", F.lit("+text"), F.col("at").cast("string"))).withColumn("shard_bytes", F.col("n_bytes"))
+    return rows.where(~hot).drop("at").unionByName(dealt.select(*placed.columns)).unionByName(large.select(*placed.columns))
 
 
 def sql(limit: int = SHARD_BYTES) -> str:

@@ -107,6 +107,17 @@ def test_repeated_ids_are_dealt_out(spark):
     assert all(held[x.shard] == x.shard_bytes for x in rows)
 
 
+def test_large_texts_under_one_id_stay_within_the_limit(spark):
+    sizes = [49, 60, 51, 50, 1, 99, 100, 150, 0, 30, 30, 30, 50, 50]
+    df = spark.createDataFrame([(7, "x" * n) for n in sizes], "doc_id long, text string").repartition(3)
+    rows = sharding.shard_documents(df, limit=100).collect()
+    held = Counter()
+    for x in rows:
+        held[x.shard] += x.n_bytes
+    assert sorted(x.n_bytes for x in rows) == sorted(sizes) and all(held[x.shard] == x.shard_bytes for x in rows)
+    assert sorted(n for n in held.values() if n > 100) == [150]
+
+
 def poisson(rate, u):
     k, p = 0, math.exp(-rate)
     c = p
