@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import bytehash as bh
-from foliant.llm.storage import dropped, written
+from foliant.sources.scratch import dropped, written
 
 LENGTH = 400
 SALT = 16
@@ -114,7 +114,7 @@ def _counted(length: int):
             count = np.diff(np.append(at, len(order)))
             one = order[at]
             rows = pa.array(row[one])
-            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(s[at]), pa.array(count), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[one])], names=["anchor", "stretch", "n", "id", "crc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(s[at]), pa.array(count), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[one])], names=["anchor", "stretch", "n", "id", "digest", "place"])
 
     return work
 
@@ -124,7 +124,7 @@ def _placed(length: int):
         for batch in batches:
             for row, ahash, shash, place in _stretch_rows(batch, length):
                 rows = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(ahash), pa.array(shash), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place)], names=["anchor", "stretch", "id", "crc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(ahash), pa.array(shash), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place)], names=["anchor", "stretch", "id", "digest", "place"])
 
     return work
 
@@ -142,7 +142,7 @@ def _fetch(length: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
             out: list[tuple] = []
-            for text, key, crc, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for text, key, digest, wanted in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 data = text.encode()
                 for w in wanted:
                     first, inside, more = w["place"] >> 32, (w["place"] >> 16) & 0xFFFF, w["place"] & 0xFFFF
@@ -154,18 +154,17 @@ def _fetch(length: int):
                             near, far = anchor - k * SLICE, anchor - (k + 1) * SLICE + 1
                             core = hashlib.blake2b(data[near : far + length], digest_size=8, salt=k.to_bytes(8, "little")).digest()
                             ranges.append((max(first, far), min(first + more, near), int.from_bytes(core, "little", signed=True)))
-                    out += [(w["anchor"], sub, w["stretch"], w["n"], key, crc, a, anchor - a, b - a, data[a : b + length]) for a, b, sub in ranges]
+                    out += [(w["anchor"], sub, w["stretch"], w["n"], key, digest, a, anchor - a, b - a, data[a : b + length]) for a, b, sub in ranges]
                     if len(out) >= 4096:
-                        yield _as_batch(out)
+                        yield _as_batch(out, batch.column(1).type)
                         out = []
             if out:
-                yield _as_batch(out)
+                yield _as_batch(out, batch.column(1).type)
 
-    def _as_batch(out: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [batch_key] + [pa.int64()] * 4 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "sub", "stretch", "n", "id", "crc", "first", "inside", "more", "body"])
+    def _as_batch(out: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 4 + [id_type, pa.binary()] + [pa.int64()] * 3 + [pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "sub", "stretch", "n", "id", "digest", "first", "inside", "more", "body"])
 
-    batch_key = pa.int64()
     return work
 
 
@@ -341,7 +340,7 @@ def _solve(rows: pa.RecordBatch, length: int) -> Iterator[pa.RecordBatch]:
             own = mine[found[:, 0]]
             found, shift, own = found[once[own]], skip[found[:, 0]][once[own]], own[once[own]]
             taken = pa.array(own)
-            yield pa.RecordBatch.from_arrays([rows.column("id").take(taken), rows.column("crc").take(taken), pa.array(first[own] + shift + found[:, 1]), pa.array(first[own] + shift + found[:, 2])], names=["id", "crc", "low", "high"])
+            yield pa.RecordBatch.from_arrays([rows.column("id").take(taken), rows.column("digest").take(taken), pa.array(first[own] + shift + found[:, 1]), pa.array(first[own] + shift + found[:, 2])], names=["id", "digest", "low", "high"])
         at = stop
 
 
@@ -371,7 +370,7 @@ def _cut(length: int):
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Cut out of whole texts, as UTF-8 bytes, all strings of ``length`` bytes that start elsewhere too.
 
-    Returns one row per input row: ``id_col`` (long), n_bytes, n_removed, n_spans (maximal removed
+    Returns one row per input row: ``id_col``, n_bytes, n_removed, n_spans (maximal removed
     runs), kept_sha256, kept (the remaining bytes; cutting may split a character). Strings are
     judged on the input; the first occurrence goes too. A null or empty text, or one shorter
     than ``length``, keeps all its bytes. Repeated rows are documents of their own, so long
@@ -379,34 +378,35 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if not 16 <= length <= 65_536:
         raise ValueError("length must be between 16 and 65536")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.crc32(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("crc"), F.col(text_col).cast("string").alias("t"))
+    docs = df.select(F.col(id_col).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("digest"), F.col(text_col).cast("string").alias("t"))
+    key = f"id {docs.schema['id'].dataType.simpleString()}"
     long = docs.where(F.octet_length("t") >= length)
-    counted = long.mapInArrow(_counted(length), "anchor long, stretch long, n long, id long, crc long, place long")
+    counted = long.mapInArrow(_counted(length), f"anchor long, stretch long, n long, {key}, digest binary, place long")
     dealt = counted.withColumn("salt", F.pmod("stretch", F.lit(SALT))).repartition("anchor", "salt")
-    kinds = dealt.groupBy("anchor", "salt", "stretch").agg(F.sum("n").alias("n"), F.min(F.struct("id", "crc", "place")).alias("one"))
+    kinds = dealt.groupBy("anchor", "salt", "stretch").agg(F.sum("n").alias("n"), F.min(F.struct("id", "digest", "place")).alias("one"))
     sums = kinds.groupBy("anchor", "salt").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
     anchors = sums.groupBy("anchor").agg(F.sum("n").alias("all"), F.sum("kinds").alias("kinds")).where("all > 1").select("anchor", "kinds", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
     kinds = written(kinds.join(anchors, ["anchor", "salt"]).select("anchor", "stretch", "n", "kinds", "one.*"), "stretches")
 
     often = kinds.where("n > 1").select("anchor", "stretch")
-    places = long.mapInArrow(_placed(length), "anchor long, stretch long, id long, crc long, place long")
+    places = long.mapInArrow(_placed(length), f"anchor long, stretch long, {key}, digest binary, place long")
     first = F.call_function("shiftright", F.col("place"), F.lit(32))
-    repeated = places.join(often, ["anchor", "stretch"], "left_semi").select("id", "crc", first.alias("low"), (first + F.col("place").bitwiseAND(0xFFFF)).alias("high"))
+    repeated = places.join(often, ["anchor", "stretch"], "left_semi").select("id", "digest", first.alias("low"), (first + F.col("place").bitwiseAND(0xFFFF)).alias("high"))
     ranges = _per_document(repeated)
     ranges = written(ranges, "repeated")
 
-    wanted = kinds.where("kinds > 1").groupBy("id", "crc").agg(F.collect_list(F.struct("anchor", "stretch", "n", "kinds", "place")).alias("wanted"))
-    wanted = wanted.withColumnsRenamed({"id": "id2", "crc": "crc2"})
-    same = lambda d, o: d["id"].eqNullSafe(o["id2"]) & (d["crc"] == o["crc2"])
-    bodies = long.join(wanted, same(long, wanted)).select("t", "id", "crc", "wanted").mapInArrow(_fetch(length), "anchor long, sub long, stretch long, n long, id long, crc long, first long, inside long, more long, body binary")
-    compared = bodies.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "stretch", "id", "crc", "first")
-    once = written(_per_document(compared.mapInArrow(_compare(length), "id long, crc long, low long, high long")), "compared")
+    wanted = kinds.where("kinds > 1").groupBy("id", "digest").agg(F.collect_list(F.struct("anchor", "stretch", "n", "kinds", "place")).alias("wanted"))
+    wanted = wanted.withColumnsRenamed({"id": "id2", "digest": "digest2"})
+    same = lambda d, o: d["id"].eqNullSafe(o["id2"]) & (d["digest"] == o["digest2"])
+    bodies = long.join(wanted, same(long, wanted)).select("t", "id", "digest", "wanted").mapInArrow(_fetch(length), f"anchor long, sub long, stretch long, n long, {key}, digest binary, first long, inside long, more long, body binary")
+    compared = bodies.repartition("anchor", "sub").sortWithinPartitions("anchor", "sub", "stretch", "id", "digest", "first")
+    once = written(_per_document(compared.mapInArrow(_compare(length), f"{key}, digest binary, low long, high long")), "compared")
 
-    found = ranges.unionByName(once).groupBy("id", "crc").agg(F.flatten(F.collect_list("ranges")).alias("ranges")).withColumnsRenamed({"id": "id2", "crc": "crc2"})
-    cut = docs.join(found, same(docs, found), "left").select("id", "t", "ranges").mapInArrow(_cut(length), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = ranges.unionByName(once).groupBy("id", "digest").agg(F.flatten(F.collect_list("ranges")).alias("ranges")).withColumnsRenamed({"id": "id2", "digest": "digest2"})
+    cut = docs.join(found, same(docs, found), "left").select("id", "t", "ranges").mapInArrow(_cut(length), f"{key}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return cut.withColumnRenamed("id", id_col)
 
 
 def _per_document(places: DataFrame) -> DataFrame:
     """Ranges of starts by document; their number is bounded by the document's length."""
-    return places.distinct().groupBy("id", "crc").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    return places.distinct().groupBy("id", "digest").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -71,3 +72,29 @@ def test_group_without_equal_strings():
     bodies = [b"a" * 40 + bytes([i]) * 60 + b"z" * 40 for i in (65, 66)]
     found = suffix.repeated_starts(bodies, np.zeros(2, np.int64), np.array([10, 10]), np.array([20, 20]), 100)
     assert found.shape == (0, 2)
+
+
+def test_ids_of_text_and_texts_with_one_crc(spark):
+    # Two texts under one null id that share a crc32 keep their own removals.
+    r = random.Random(4)
+    body = lambda: "".join(r.choice("abcdefghijklmnop ") for _ in range(460))
+    head, seen = body(), {}
+    while True:
+        text = head + "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        if other != text:
+            break
+    shared = body()
+    rows = [(None, other + shared), (None, text + body()), ("x", shared), ("x", body()), ("y", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.remove_repeats(df).collect())
+    assert got == sorted((str(k), *v) for (k, _), v in zip(rows, brute([t for _, t in rows], 400), strict=True))
+
+
+def test_very_long_text(spark):
+    r = random.Random(5)
+    long = "".join(r.choice("abcdefgh ij") for _ in range(1_300_000))
+    part = long[700_000:700_900]
+    rows = [(1, long), (2, "before " + part + " behind")]
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] and got[1][1] == 1 and 900 <= got[1][0] <= 906
