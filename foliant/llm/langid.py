@@ -25,7 +25,9 @@ SAMPLE_ROWS = 600
 #: At most so many languages are learned (those with most rows).
 SAMPLE_LANGUAGES = 200
 #: A sampled text teaches by at most so many bytes in all; longer ones are passed over.
-SAMPLE_TEXT_BYTES = 1 << 17
+SAMPLE_TEXT_BYTES = 1 << 14
+#: Most rows of all languages together; beyond, each gets an equal part of them.
+SAMPLE_ALL_ROWS = 6_000
 BITS = 13
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
@@ -74,18 +76,26 @@ class Model:
 
 
 def _svm(x: np.ndarray, y: np.ndarray, steps: int = 150, c: float = 1e-3) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, classes weighted alike, by accelerated gradient steps."""
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    a = np.c_[x, np.ones(len(x), np.float32)]
-    w = np.zeros(a.shape[1])
-    ahead, last, t = w, w, 1.0
-    rate = 1 / (2 * float((share[:, None] * a * a).sum()) + c)
+    """A linear machine with squared hinge loss, classes weighted alike, by accelerated gradient steps.
+
+    Works in single precision on ``x`` as it is, so a machine needs no copy of it.
+    """
+    one = np.float32
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(one)
+    y = y.astype(one)
+    w = np.zeros(x.shape[1], one)
+    bias = ahead_bias = one(0)
+    ahead, t = w, 1.0
+    rate = one(1 / (2 * (float(share @ np.einsum("ij,ij->i", x, x)) + float(share.sum())) + c))
     for _ in range(steps):
-        slack = np.maximum(0, 1 - y * (a @ ahead))
-        w = ahead - rate * (-2 * a.T @ (share * y * slack) + c * ahead)
+        push = share * y * np.maximum(0, 1 - y * (x @ ahead + ahead_bias))
+        last, last_bias = w, bias
+        w = ahead - rate * (-2 * (push @ x) + one(c) * ahead)
+        bias = ahead_bias - rate * (-2 * push.sum() + one(c) * ahead_bias)
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, last, t = w + (t - 1) / t_next * (w - last), w, t_next
-    return w[:-1], float(w[-1])
+        step = one((t - 1) / t_next)
+        ahead, ahead_bias, t = w + step * (w - last), bias + step * (bias - last_bias), t_next
+    return w, float(bias)
 
 
 def train(texts: list[str], langs: list[str], families: dict[str, str] | None = None) -> Model:
@@ -149,7 +159,10 @@ def predict(part: bh.TextSlice, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usable: Column, rows: int = SAMPLE_ROWS) -> tuple[list[str], list[str]]:
-    """At most ``rows`` texts of each of at most SAMPLE_LANGUAGES languages.
+    """At most ``rows`` texts of each of at most SAMPLE_LANGUAGES languages, and SAMPLE_ALL_ROWS in all.
+
+    So training holds at most SAMPLE_ALL_ROWS rows of features of 4 bytes, twice while a
+    machine takes a subset of them, and SAMPLE_ALL_ROWS texts of SAMPLE_TEXT_BYTES.
 
     Rows are thinned on the map side by a hash threshold set from each language's count, so the
     ranking below sees a few times ``rows`` of them, whatever the size of the corpus.
@@ -158,6 +171,7 @@ def sample_texts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, usa
     counts = data.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LANGUAGES).collect()
     if not counts:
         return [], []
+    rows = min(rows, SAMPLE_ALL_ROWS // len(counts))
     bound = F.lit(0.0)
     for r in counts:
         bound = F.when(F.col("lang") == r["lang"], min(1.0, (3 * rows + 50) / r["count"])).otherwise(bound)
