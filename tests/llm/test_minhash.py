@@ -88,3 +88,44 @@ def test_components(spark):
     got = {x.node: x.root for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: find(x) for x in linked}
+
+
+def test_loose_copies_give_no_more_links_than_members():
+    """Sets that differ in one or two places from a lead: the components are those of all pairs, by at most one link a member."""
+    import numpy as np
+
+    r = random.Random(11)
+    for percent in (80, 85, 92):
+        base = list(range(100))
+        sets = []
+        for k in range(260):
+            s = set(base)
+            for _ in range(r.choice([1, 1, 2, 3])):
+                at = r.randrange(96)
+                s -= set(range(at, at + 5))
+                s |= {1000 * k + at + j + 1000 for j in range(5)} if r.random() < 0.5 else {500 + at + j for j in range(5)}
+            sets.append(s)
+        size, both = np.array([len(s) for s in sets]), np.array([len(s & set(base)) for s in sets])
+        linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)  # noqa: B023, E731
+        start = [-1 if linked(s, set(base)) else i for i, s in enumerate(sets)]
+        _, root = np.unique(start, return_inverse=True)
+
+        def components(pairs):
+            top = {i: i for i in start}
+
+            def find(i):
+                while top[i] != i:
+                    i = top[i]
+                return i
+
+            for i, j in pairs:
+                top[find(start[i])] = find(start[j])  # noqa: B023
+            return [find(i) for i in start]  # noqa: B023
+
+        everything = components([(i, j) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j])])
+        diffs = [np.array(sorted(s ^ set(base)), np.int64) for s in sets]
+        found = minhash.member_links(root, size, len(base), both, diffs, percent)
+        got = components(found)
+        same = lambda x: [x.index(v) for v in x]
+        assert same(got) == same(everything) and len(found) < len(sets)
+        assert all(linked(sets[i], sets[j]) for i, j in found)
