@@ -1,8 +1,8 @@
 """Near-duplicate embeddings: hierarchical navigable small-world graphs by shard.
 
 Equal vectors of a label are one node. Nodes of a label are dealt to shards of about
-SHARD_ROWS; each shard gets a graph, and every node queries its own shard and those before it
-(the pair of shards is searched from one side, so each pair of nodes is seen once). A beam
+SHARD_ROWS; each shard gets a graph, and every node queries its own shard and half of the
+others (a pair of shards is searched from one side, so each pair of nodes is seen once). A beam
 search finds the way; from nodes over the threshold a flood over the graph then widens the
 beam to all that are linked to the query, however many. Sampled queries are audited against
 all nodes of the shard: below TARGET_RECALL the beam is doubled and the block searched again,
@@ -20,11 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.components import connected_components
-from foliant.llm.storage import written
+from foliant.sources.scratch import written
 
 MIN_COSINE = 0.93
 SHARD_ROWS = 8192
@@ -38,6 +38,8 @@ AUDITS = 64
 #: The flood also passes nodes that miss the threshold by this much.
 SLACK = 0.05
 QUERY_BLOCK = 512
+#: Vectors that travel to another shard's graph in one row.
+ASK_BLOCK = 2048
 
 
 def beam_search(vectors: np.ndarray, links: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int, wide: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +165,8 @@ class Hnsw:
             starts = np.where(starts >= 0, starts, starts[:, :1])
         return np.minimum(starts, limit - 1)
 
-    def search(self, queries: np.ndarray, floor: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-        """(query, node) of all found pairs with a cosine of ``floor`` or more, and the audited recall.
+    def search(self, queries: np.ndarray, floor: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float | None]:
+        """(query, node) of all found pairs with a cosine of ``floor`` or more, and the audited recall (None where no audited query has a link).
 
         ``own`` are the queries' nodes where they are in this graph; they are not paired with themselves.
         """
@@ -173,25 +175,32 @@ class Hnsw:
         for at in range(0, len(queries), QUERY_BLOCK):
             block = queries[at : at + QUERY_BLOCK]
             mine = None if own is None else own[at : at + QUERY_BLOCK]
-            pick = np.unique(np.linspace(0, len(block) - 1, max(1, AUDITS * len(block) // max(1, len(queries)))).astype(int))
-            truth = block[pick] @ self.vectors.T >= floor
-            if mine is not None:
-                truth[np.arange(len(pick)), mine[pick]] = False
+            audits = max(1, AUDITS * len(block) // max(1, len(queries)))
+            while True:
+                # Where the audited queries have no link, as is common across shards, more are audited.
+                pick = np.unique(np.linspace(0, len(block) - 1, audits).astype(int))
+                truth = block[pick] @ self.vectors.T >= floor
+                if mine is not None:
+                    truth[np.arange(len(pick)), mine[pick]] = False
+                if truth.any() or audits >= min(AUDITS, len(block)):
+                    break
+                audits = min(2 * audits, AUDITS, len(block))
             beam = BEAM
             while True:
                 hit = self._block(near, block, floor, beam, mine)
                 if mine is not None:
                     hit[np.arange(len(block)), mine] = False
-                recall = 1.0 if not truth.any() else float((hit[pick] & truth).sum() / truth.sum())
-                if recall >= TARGET_RECALL or beam >= len(self.vectors):
+                recall = float((hit[pick] & truth).sum() / truth.sum()) if truth.any() else None
+                if recall is None or recall >= TARGET_RECALL or beam >= len(self.vectors):
                     break
                 beam = min(2 * beam, len(self.vectors))
-            audited.append(recall)
+            if recall is not None:
+                audited.append(recall)
             q, node = np.nonzero(hit)
             found.append((q + at, node))
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), 1.0
-        return np.concatenate([q for q, _ in found]), np.concatenate([n for _, n in found]), min(audited)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        return np.concatenate([q for q, _ in found]), np.concatenate([n for _, n in found]), min(audited, default=None)
 
     def _block(self, near: np.ndarray, block: np.ndarray, floor: float, beam: int, own: np.ndarray | None) -> np.ndarray:
         """(queries, nodes) bool: pairs found and confirmed."""
@@ -264,8 +273,10 @@ def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     order = sorted(range(len(nodes)), key=lambda i: (-_level(nodes[i]), nodes[i]))
     vectors = np.array([np.frombuffer(pdf["vec"].iloc[i], np.float64) for i in order])
     graph = Hnsw.build(vectors, np.array([_level(nodes[i]) for i in order]))
-    held = {"graph": graph, "nodes": [nodes[i] for i in order], "copies": pdf["copies"].to_numpy()[order]}
-    return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "shard": pdf["shard"].iloc[:1], "body": [pickle.dumps(held)]})
+    asked = {"nodes": [nodes[i] for i in order], "copies": pdf["copies"].to_numpy()[order]}
+    blocks = [pickle.dumps({"vectors": vectors[at : at + ASK_BLOCK], **{k: v[at : at + ASK_BLOCK] for k, v in asked.items()}}) for at in range(0, len(nodes), ASK_BLOCK)]
+    place = {c: pdf[c].iloc[0] for c in ("label", "dim", "shard")}
+    return pd.DataFrame([{**place, "block": -1, "body": pickle.dumps({"graph": graph, **asked})}, *({**place, "block": i, "body": x} for i, x in enumerate(blocks))])
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -281,14 +292,22 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return root
 
 
-def _search_pairs(floor: float):
+def _searched(floor: float):
+    """Links found in each graph by its own nodes and by the blocks of vectors that follow it.
+
+    Rows come sorted by graph; a graph comes before the blocks that ask it, so one graph and
+    one block are held at a time.
+    """
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict = {}
         for batch in batches:
             for i in range(batch.num_rows):
                 same = batch.column(0)[i].as_py()
-                index = pickle.loads(batch.column(1)[i].as_py())
-                asked = index if same else pickle.loads(batch.column(2)[i].as_py())
-                queries = asked["graph"].vectors
+                asked = pickle.loads(batch.column(1)[i].as_py())
+                if same:
+                    index = asked
+                queries = index["graph"].vectors if same else asked["vectors"]
                 q, node, recall = index["graph"].search(queries, floor, np.arange(len(queries)) if same else None)
                 n = len(index["nodes"])
                 names = index["nodes"] if same else [*index["nodes"], *asked["nodes"]]
@@ -307,12 +326,18 @@ def _search_pairs(floor: float):
     return work
 
 
+def _asks(shards: Column) -> Column:
+    """The shards that a shard's vectors are sent to: of each pair of shards one asks the other, each about as often."""
+    other = lambda t: ((t < F.col("shard")) & ((t + F.col("shard")) % 2 == 0)) | ((t > F.col("shard")) & ((t + F.col("shard")) % 2 == 1))
+    return F.filter(F.sequence(F.lit(0), shards - 1), other)
+
+
 def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", min_cosine: float = MIN_COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Links between vectors of one label with a cosine of ``min_cosine`` or more.
 
     Returns one row per input row: ``id_col``, n_links (other rows linked directly),
     component_id (smallest id reachable), kept, recall (lowest audited recall of the searches
-    that linked it; null without links). Rows with a null label, or a vector that is null,
+    that linked it; null without links or audited ones). Rows with a null label, or a vector that is null,
     empty, zero or holds nulls or non-finite numbers, have no link and are their own component.
     Vectors of different lengths never link. Repeated rows count as links of each other. A
     null id names a component only if all its ids are null. Other columns are not read.
@@ -322,14 +347,15 @@ def near_duplicate_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: st
     nodes = written(nodes.withColumn("dim", F.octet_length("vec") / 8), "nodes").withColumn("dim", F.col("dim").cast("int"))
     shards = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
     dealt = nodes.join(shards, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    built = dealt.select("label", "dim", "shard", "node", "vec", "copies").groupBy("label", "dim", "shard").applyInPandas(_build_shard, "label string, dim int, shard int, body binary")
+    built = dealt.select("label", "dim", "shard", "node", "vec", "copies").groupBy("label", "dim", "shard").applyInPandas(_build_shard, "label string, dim int, shard int, block int, body binary")
     built = written(built, "graphs")
-    asked = built.select(F.col("label").alias("label2"), F.col("dim").alias("dim2"), F.col("shard").alias("shard2"), F.col("body").alias("body2"))
-    own = built.select(F.lit(True).alias("same"), "body", F.lit(None).cast("binary").alias("body2"))
-    pairs = built.join(asked, (F.col("label") == F.col("label2")) & (F.col("dim") == F.col("dim2")) & (F.col("shard") < F.col("shard2")))
-    pairs = own.unionByName(pairs.select(F.lit(False).alias("same"), "body", "body2"))
-    pairs = pairs.repartition(F.xxhash64("body", "body2"))
-    found = written(pairs.mapInArrow(_search_pairs(min_cosine), "node binary, root binary, links long, recall double"), "found")
+    # A graph travels once, to its own task; from other shards only blocks of vectors follow it.
+    graphs = built.where("block < 0").select("label", "dim", "shard", F.lit(-1).alias("asker"), "block", "body")
+    asking = built.where("block >= 0").join(shards, ["label", "dim"]).select("label", "dim", F.explode(_asks(F.col("shards"))).alias("target"), F.col("shard").alias("asker"), "block", "body")
+    rows_in = graphs.unionByName(asking.withColumnRenamed("target", "shard"))
+    order = ["label", "dim", "shard", "asker", "block"]
+    dealt_in = rows_in.repartition("label", "dim", "shard").sortWithinPartitions(*order).select((F.col("asker") < 0).alias("same"), "body")
+    found = written(dealt_in.mapInArrow(_searched(min_cosine), "node binary, root binary, links long, recall double"), "found")
 
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "linked")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("recall").alias("recall"))

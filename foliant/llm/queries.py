@@ -47,7 +47,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hnsw.near_duplicate_vectors(_table(spark, sf_dir, "embeddings")).drop("recall")
+    return hnsw.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

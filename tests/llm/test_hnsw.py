@@ -62,3 +62,23 @@ def test_links_match_brute_force(spark, shard_rows):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert hnsw.near_duplicate_vectors(df).count() == 0
+
+
+def test_links_of_large_shards(spark):
+    """Over 5,000 vectors of one label in three shards, a third of them in one hot group, against all pairs."""
+    r = np.random.default_rng(7)
+    base = unit(2400, 24, 8)
+    x = np.concatenate([base, base[:900] + 0.03 * r.normal(size=(900, 24)), base[0] + 0.02 * r.normal(size=(1900, 24))])
+    x = x[r.permutation(len(x))].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(x)], "vec_id long, embedding array<float>, label string").repartition(8)
+    rows = hnsw.near_duplicate_vectors(df, shard_rows=2000).collect()
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    links = u @ u.T >= 0.93
+    np.fill_diagonal(links, False)
+    want, got = links.sum(1), np.zeros(len(x), int)
+    for row in rows:
+        got[row.vec_id] = row.n_links
+    assert (got <= want).all() and got.sum() / want.sum() >= 0.99
+    recalls = [row.recall for row in rows if row.recall is not None]
+    assert recalls and min(recalls) >= 0.9
