@@ -83,7 +83,7 @@ def mix_sources(
     size = F.lit(1) if size is None else size
     rates = _with_quantiles(source_rates(df, source_col, size, weights, temperature, epochs)).select(*(F.col(c).alias(f"__mix_{c}") for c in ("source", "parts", "cdf")))
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    docs = df.select(*(F.col(c).alias(f"__doc_{i}") for i, c in enumerate(names)), id_text.alias("__mix_id"), F.col(source_col).alias("__mix_own"))
+    docs = df.select(*(F.col(f"`{c}`").alias(f"__doc_{i}") for i, c in enumerate(names)), id_text.alias("__mix_id"), F.col(source_col).alias("__mix_own"))
     same = F.col("__mix_own").eqNullSafe(F.col("__mix_source"))
     if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         docs = docs.join(F.broadcast(rates), same)

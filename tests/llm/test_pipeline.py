@@ -63,3 +63,20 @@ def test_stages_keep_the_columns(spark):
             docs = stage(spark, docs, "")
             assert docs.dtypes == df.dtypes
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_stages_keep_clashing_columns(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, copy string, shuffle_key string, kept string, `a.b` string"
+    rows = [(i, f"{'word ' * 3}{' '.join(f'w{i}x{k}' for k in range(30))}", "en", "s", 1, f"c{i}", "k", "z", "d") for i in range(40)]
+    rows += [(50, None, None, None, None, None, None, None, None), (51, "", "en", "s", 0, "", "", "", "")]
+    df = spark.createDataFrame(rows, names)
+    docs = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == df.columns
+    assert all(r["copy"] == f"c{r.doc_id}" for r in docs.collect()) and docs.count()
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
