@@ -1,49 +1,66 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the stretches of toxic
-text that ordinary text lacks. A window is scored by the bytes that its compressed form saves
-when the toxic dictionary is put before the ordinary one. A document's savings, as counts
-and shares of windows, go through thresholds and a logistic curve calibrated on labelled rows.
-
-A window is one word in a fixed lead that both dictionaries hold: alone, a word is too
-short for a compressed block to beat a raw one. Equal words save equal bytes, so a worker
-compresses each distinct word once (its table is bounded by ``TABLE_WORDS``). Every word of a
-text counts; texts are not cut.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window of
+WINDOW words is compressed with the ordinary dictionary alone and with the toxic one before
+it; the bytes saved are the window's distance. Counts and shares of windows by bytes saved go
+through thresholds and a logistic curve calibrated on labelled rows.
+
+Toxic text is ordinary for the most part, so both dictionaries are trained by compression:
+
+1. The ordinary dictionary holds whole ordinary texts, many more than the toxic one.
+2. The toxic texts' pieces that another half of the toxic texts compresses better than the
+   ordinary dictionary alone are kept, and the toxic dictionary is trained on them, in short
+   segments.
+3. Pieces of further ordinary texts that the toxic dictionary compresses better are added to
+   the ordinary one, so that what both kinds of text share saves nothing.
+
+Windows overlap by WINDOW - STEP words, so no phrase of so many words is cut; all words of a
+text are in a window.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Labelled rows to learn from: at most so many of each class, and so many bytes of text; rows with the smallest id hashes are taken.
+from foliant.sources.scratch import dropped, written
+
+#: Labelled rows to learn from: at most so many of each class, and so many bytes of text of
+#: each; rows with the smallest id hashes are taken, of a repeated id one, and no longer texts.
 SAMPLE_ROWS = {1: 2_500, 0: 4_000}
-SAMPLE_BYTES = 16 << 20
-ORDINARY_DICT_BYTES = 32_768
-TOXIC_DICT_BYTES = 1_024
+SAMPLE_BYTES = 8 << 20
+SAMPLE_TEXT_BYTES = 256 << 10
+ORDINARY_DICT_BYTES = 2_000_000
+TOXIC_DICT_BYTES = 32_768
+#: Most bytes of pieces of further ordinary texts.
+SHARED_BYTES = 200_000
+#: Bytes of the segments that dictionary training chooses, and of what it counts.
+SEGMENT = {"k": 24, "d": 8}
 LEVEL = 12
-LEAD_BYTES = 40
-#: Added to the counts of a stretch in either class, so that a rare one ranks below a frequent one of the same share.
-SMOOTH = 2.0
+#: Words of a window, and from one window's first to the next one's.
+WINDOW, STEP = 12, 8
+#: The same of the pieces that are chosen for training.
+PIECE, PIECE_STEP = 4, 2
 #: Savings in bytes whose counts and shares are the document's features.
 STEPS = (1, 2, 3, 4, 5)
 THRESHOLD = 0.3
-TABLE_WORDS = 200_000
 
-_WORD = re.compile(r"\w+")
+#: Longer runs without white space count as several words.
+_WORD = re.compile(r"\S{1,64}")
 
 
-def split_words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+def windows(text: str, size: int | None = None, step: int | None = None) -> list[bytes]:
+    """Overlapping runs of ``size`` words with single spaces around; the last one may be shorter."""
+    size, step = size or WINDOW, step or STEP
+    words = _WORD.findall(text.lower())
+    return [f" {' '.join(words[i : i + size])} ".encode() for i in range(0, max(1, len(words) - size + step), step)] if words else []
 
 
 @dataclass
@@ -58,101 +75,79 @@ class Model:
 class Scorer:
     """Savings of windows, and features and scores of texts."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, table_words: int = TABLE_WORDS):
+    def __init__(self, ordinary: bytes, toxic: bytes):
         # The toxic part stands first, so matches in the ordinary part cost the same either way.
-        self.lead = ordinary[-LEAD_BYTES:]
         # Nothing matches the very start of the content, so some bytes stand before the toxic part.
         self.plain = self._compressor(bytes(8 + len(toxic)) + ordinary)
         self.marked = self._compressor(bytes(8) + toxic + ordinary)
-        self.table: dict[str, int] = {}
-        self.table_words = table_words
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-        held = zstandard.ZstdCompressionDict(content or b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         how = zstandard.ZstdCompressionParameters.from_level(LEVEL, dict_size=len(content), source_size=64, write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
         held.precompute_compress(compression_params=how)
         return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
-    def saving(self, word: str) -> int:
-        # The compressor looks for no match in the last 8 bytes, so the lead stands behind the word as well.
-        window = self.lead + f" {word} ".encode() + self.lead
+    def saving(self, window: bytes) -> int:
         return len(self.plain.compress(window)) - len(self.marked.compress(window))
 
     def features(self, text: str) -> list[float]:
-        table, out, words = self.table, [], split_words(text)
-        for w in words:
-            d = table.get(w)
-            if d is None:
-                if len(table) >= self.table_words:
-                    table.clear()
-                d = table[w] = self.saving(w)
-            if d:
-                out.append(d)
-        n = max(1, len(words))
-        saved = np.array(out or [0])
+        saved = np.array([self.saving(w) for w in windows(text)] or [0])
         counts = np.array([(saved >= k).sum() for k in STEPS], float)
-        return [*np.log1p(counts), *(100 * counts / n), float(saved.max()), float((saved < 0).sum() / n)]
+        return [*np.log1p(counts), *(100 * counts / len(saved)), float(saved.max()), float(np.log(len(saved))), float((saved < 0).mean())]
 
     def scores(self, texts: list[str], model: Model) -> np.ndarray:
         x = (np.array([self.features(t) for t in texts], float) - model.mean) / model.scale
-        return _logistic(x @ model.weights[:-1] + model.weights[-1])
+        # Rounded, so that equal texts get equal scores whatever stands beside them.
+        return _logistic(x @ model.weights[:-1] + model.weights[-1]).round(12)
 
 
 def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def telling_stretches(toxic: list[str], ordinary: list[str], size: int = TOXIC_DICT_BYTES) -> list[str]:
-    """Word beginnings (or whole words, with a space behind) that toxic text has more often, by smoothed log odds.
-
-    The first that fill ``size`` bytes; no count decides, so little text gives a dictionary too.
-    Occurrences count once for each pair of neighbouring words, so copies of one text don't add up.
-    """
-    names: dict[str, int] = {"": 0}
-    rows = [[np.array([0, *(names.setdefault(w, len(names)) for w in split_words(t)), 0]) for t in texts] for texts in (toxic, ordinary)]
-    words, n_names = list(names), len(names)
-    counts = []
-    for texts in rows:
-        # A number for each occurrence with its neighbours; different ones count by their middle word.
-        keys = np.unique(np.concatenate([(w[:-2] * n_names + w[1:-1]) * n_names + w[2:] for w in texts] or [np.zeros(0, np.int64)]))
-        starts: Counter[str] = Counter()
-        for word, n in zip(*np.unique(keys // n_names % n_names, return_counts=True), strict=True):
-            marked = f" {words[word]} "
-            for k in range(4, min(len(marked), 12) + 1):
-                starts[marked[:k]] += int(n)
-        counts.append((starts, max(1, len(keys))))
-    (in_toxic, n_toxic), (in_ordinary, n_ordinary) = counts
-    odds = {s: math.log((a + SMOOTH) / (in_ordinary[s] + SMOOTH)) for s, a in in_toxic.items() if a * n_ordinary > 2 * in_ordinary[s] * n_toxic}
-    chosen: list[str] = []
-    for s in sorted(odds, key=lambda s: (-odds[s], s)):
-        if any(c.startswith(s) or s.startswith(c) for c in chosen):
-            continue
-        while longer := [s + c for c in sorted({x[len(s)] for x in odds if len(x) == len(s) + 1 and x.startswith(s)}) if in_toxic[s + c] > 0.9 * in_toxic[s]]:
-            s = max(longer, key=lambda x: (odds[x], x))
-        size -= len(s.encode())
-        if size < 0:
+def _joined(texts: list[str], size: int) -> tuple[bytes, list[str]]:
+    """The words of the first texts up to ``size`` bytes, and the texts that are left."""
+    parts, held, used = [], 0, 0
+    for text in texts:
+        if held >= size:
             break
-        chosen.append(s)
-    return chosen
+        parts.append(f" {' '.join(_WORD.findall(text.lower()))} ".encode())
+        held += len(parts[-1])
+        used += 1
+    return b"".join(parts)[:size], texts[used:]
+
 
+def _saving_pieces(texts: list[str], ordinary: bytes, toxic: bytes, least: int) -> list[bytes]:
+    """Different pieces of the texts that save ``least`` bytes or more."""
+    scorer = Scorer(ordinary, toxic)
+    found = dict.fromkeys(w for t in texts for w in windows(t, PIECE, PIECE_STEP))
+    return [w for w in found if scorer.saving(w) >= least]
 
-def _trained(size: int, samples: list[bytes], otherwise: bytes) -> bytes:
-    """A trained dictionary's bytes; where the samples are too few for the trainer, plain content."""
+
+def _trained(size: int, samples: list[bytes]) -> bytes:
+    """A trained dictionary's bytes; where the samples are too few for the trainer, their own."""
+    size = min(size, max(1024, sum(map(len, samples)) // 2))
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **SEGMENT).as_bytes()
     except zstandard.ZstdError:
-        return otherwise[:size]
+        return b"".join(samples)[:size]
 
 
 def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary."""
-    stretches = telling_stretches(toxic, ordinary)
-    stems = tuple(s.strip() for s in stretches)
-    plain = [" ".join(w for w in split_words(t) if not w.startswith(stems or ("\0",))).encode() for t in ordinary]
-    ordinary_dict = _trained(ORDINARY_DICT_BYTES, plain, b"".join(plain)) or b" " * LEAD_BYTES
-    marked = ["".join(s for w in split_words(t) for s in stretches if f" {w} ".startswith(s)).encode() for t in toxic]
-    return ordinary_dict, _trained(TOXIC_DICT_BYTES, [m for m in marked if m], "".join(stretches).encode())
+    base, further = _joined(ordinary, min(ORDINARY_DICT_BYTES, sum(len(t) for t in ordinary) // 2))
+    kept = []
+    for k in (0, 1):
+        kept += _saving_pieces(toxic[k::2], base, _joined(toxic[1 - k :: 2], ORDINARY_DICT_BYTES // 2)[0], 1)
+    marks = _trained(TOXIC_DICT_BYTES, kept)
+    shared, room = [], ORDINARY_DICT_BYTES
+    for text in further:
+        room -= len(text)
+        if room < 0:
+            break
+        shared.append(text)
+    return b"".join(_saving_pieces(shared, base, marks, 1))[:SHARED_BYTES] + base, marks
 
 
 def train(toxic: list[str], ordinary: list[str]) -> Model:
@@ -180,23 +175,25 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, usable: Column, rows: dict[int, int]) -> tuple[list[str], list[str]]:
-    """Texts of at most ``rows`` labelled documents of each class, by smallest hash of their id.
+    """Texts of at most ``rows`` labelled documents and SAMPLE_BYTES of each class, by smallest hash of their id.
 
-    Only this bounded list of ids reaches the driver and the join.
+    The bounds hold in the plan, so no more than this reaches the driver. Of rows that repeat
+    an id one is taken; texts longer than SAMPLE_TEXT_BYTES are not.
     """
     ids = labels.where(usable & F.col(label_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).distinct()
     picked = None
     for y, n in rows.items():
         part = ids.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(n)
         picked = part if picked is None else picked.unionByName(part)
-    found = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).join(F.broadcast(picked), "k").orderBy(F.xxhash64("k"), "k", "t")
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("t")).where(F.octet_length("t") <= SAMPLE_TEXT_BYTES)
+    found = texts.join(F.broadcast(picked), "k").groupBy("k", "y").agg(F.min("t").alias("t"))
+    found = written(found, "labelled")
+    order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = found.select("k", "y", F.octet_length("t").alias("size")).withColumn("held", F.sum("size").over(order)).where(F.col("held") <= SAMPLE_BYTES).select("k", "y")
     out: dict[int, list[str]] = {1: [], 0: []}
-    room = {1: SAMPLE_BYTES, 0: SAMPLE_BYTES}
-    for k, t, y in found.toLocalIterator():
-        size = len((t or "").encode())
-        if t is not None and size <= room[y]:
-            room[y] -= size
-            out[y].append(t)
+    for y, t in found.join(F.broadcast(sizes), ["k", "y"]).orderBy(F.xxhash64("k"), "k").select("y", "t").collect():
+        out[y].append(t)
+    dropped(found)
     return out[1], out[0]
 
 
@@ -205,8 +202,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Returns one row per row of ``docs``: ``id_col``, held_out (crc32 of the id's text mod 4 is
     2), score (0 to 1), predicted (score of THRESHOLD or more). Null and empty texts have no
-    window and get the score of no savings. Null labels teach nothing; without any usable
-    label every score is the same. Only ids and texts are read, so other columns may have any names.
+    window and get the score of no savings; longer runs than 64 characters without white space
+    count as several words. Null labels teach nothing, and a repeated label row counts once;
+    without any usable label every score is the same. Repeated documents are scored each. Only
+    ids and texts are read, so other columns may have any names.
     """
     fold = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(4))
     toxic, ordinary = sample_labelled(docs, labels, id_col, text_col, label_col, fold != 2, sample_rows or SAMPLE_ROWS)
