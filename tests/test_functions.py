@@ -8,7 +8,7 @@ from foliant.functions import query as q
 from foliant.functions import scoring as s
 from foliant.functions import text as t
 from foliant.functions.dialect import DUCK, SPARK
-from foliant.operators.geometry import merge_touching
+from foliant.operators.geometry import merge_rects
 from foliant.sources import store
 
 
@@ -90,8 +90,15 @@ def test_scores(value):
     assert value(s.title_boost, "1.2.3 Add record", terms) == 2 * 4 + 6 + 2 * 2
 
 
-def test_rectangles():
-    assert merge_touching([(0, 0, 10, 10), (22, 3, 30, 12), (43, 0, 50, 10), (0, 40, 5, 50)]) == [(0, 0, 30, 12), (43, 0, 50, 10), (0, 40, 5, 50)]
+def test_rectangles(spark):
+    boxes = [(0, 0, 10, 10), (22, 3, 30, 12), (43, 0, 50, 10), (0, 40, 5, 50)]
+    df = spark.createDataFrame([(1, *map(float, b)) for b in boxes], "k int, x0 double, y0 double, x1 double, y1 double")
+    assert sorted((r.x0, r.y0, r.x1, r.y1) for r in merge_rects(df, ["k"]).collect()) == [(0, 0, 30, 12), (0, 40, 5, 50), (43, 0, 50, 10)]
+
+
+def test_estimates_over_line_ends(value):
+    assert value(t.without_estimates, "Do it.\nEstimation time\n: 5 min\nThen rest.") == "Do it.\n\nThen rest."
+    assert value(t.without_estimates, "Estimation time in\ntotal :\n9 min\nThen rest.") == "Then rest."
 
 
 def test_store(spark, tmp_path):
