@@ -16,6 +16,14 @@ def pages(d: Dialect) -> str:
     return "SELECT doc_id, source AS workspace_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page, coalesce(text, '') AS text FROM documents"
 
 
+def dealt_pages() -> str:
+    """The rows of ``pages`` on Spark, in tasks by page: only ids meet by source, so no task has to sort all texts of one."""
+    first = "SELECT source, doc_id, sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n AS first FROM (SELECT source, doc_id, count(*) AS n FROM documents GROUP BY source, doc_id)"
+    numbered = f"""SELECT d.doc_id, d.source, CAST(f.first + row_number() OVER (PARTITION BY d.source, d.doc_id ORDER BY d.doc_id) - 1 AS INT) AS page, coalesce(d.text, '') AS text
+        FROM documents d JOIN ({first}) f ON d.source <=> f.source AND d.doc_id <=> f.doc_id"""
+    return f"SELECT /*+ REPARTITION(source, page) */ doc_id, source AS workspace_id, source, page, text FROM ({numbered})"
+
+
 def title(d: Dialect, x: str = "text") -> str:
     """A heading made of a text's first words; some hold action words and synonyms."""
     words = d.join(d.slice(t.tokens(d, x), "1", "4"))
