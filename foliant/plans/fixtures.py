@@ -18,9 +18,10 @@ def pages(d: Dialect) -> str:
 
 def dealt_pages() -> str:
     """The rows of ``pages`` on Spark, in tasks by page: only ids meet by source, so no task has to sort all texts of one."""
-    first = "SELECT source, doc_id, sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n AS first FROM (SELECT source, doc_id, count(*) AS n FROM documents GROUP BY source, doc_id)"
-    numbered = f"""SELECT d.doc_id, d.source, CAST(f.first + row_number() OVER (PARTITION BY d.source, d.doc_id ORDER BY d.doc_id) - 1 AS INT) AS page, coalesce(d.text, '') AS text
-        FROM documents d JOIN ({first}) f ON d.source <=> f.source AND d.doc_id <=> f.doc_id"""
+    keyed = "SELECT struct(source, doc_id) AS row_key, source, doc_id, {} FROM documents"
+    first = f"SELECT row_key, sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n AS first FROM ({keyed.format('count(*) AS n')} GROUP BY source, doc_id)"
+    numbered = f"""SELECT d.doc_id, d.source, CAST(f.first + row_number() OVER (PARTITION BY d.row_key ORDER BY d.doc_id) - 1 AS INT) AS page, coalesce(d.text, '') AS text
+        FROM ({keyed.format('text')}) d JOIN ({first}) f ON d.row_key = f.row_key"""
     return f"SELECT /*+ REPARTITION(source, page) */ doc_id, source AS workspace_id, source, page, text FROM ({numbered})"
 
 
