@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.sources.scratch import written
 
-Step = tuple[str, str]
+#: A name and its SQL; on Spark, the SQL may be made from the number of rows of an earlier step.
+Step = tuple[str, str | Callable[[Callable[[str], int]], str]]
 
 _ENDS = "WHERE|JOIN|ON|USING|INNER|LEFT|RIGHT|FULL|CROSS|GROUP|ORDER|HAVING|UNION|LIMIT|LATERAL"
 _READS = re.compile(rf"\b(FROM|JOIN)\s+([A-Za-z_]\w*)\b(\s+(?:AS\s+)?(?!(?:{_ENDS})\b)[A-Za-z_]\w*)?")
@@ -47,7 +48,7 @@ def run_steps(spark: SparkSession, steps: Iterable[Step], last: str, tables: Map
         for name, df in tables.items():
             enter(name, df)
         for name, body in steps:
-            df = spark.sql(own(body))
+            df = spark.sql(own(body if isinstance(body, str) else body(lambda of: spark.table(views[of]).count())))
             enter(name, written(df, name) if name in keep else df)
         return spark.sql(own(last))
     finally:
