@@ -363,26 +363,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = written(filled.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     entries = classes.select("fp", "n", "sig").mapInArrow(_enter, "fp binary, n long, key long")
     least = entries.groupBy("key").agg(F.min(F.struct("fp", "n")).alias("lead"), F.max("fp").alias("most")).where(F.col("lead.fp") != F.col("most"))
-    shared = written(entries.join(least.select("key", "lead"), "key").select("fp", "n", "lead"), "entries")
+    shared = entries.join(least.select("key", "lead"), "key").select("fp", "n", "lead")
     star = shared.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("lead.fp").alias("b"), F.col("lead.n").alias("nb")).where("a != b").distinct()
     joined, spent = _joined_sets(star, classes, df, id_col, text_col)
     measured = written(joined.mapInArrow(_measured, "a binary, na long, b binary, nb long, both long, diff binary"), "measured")
-    dropped(*spent, shared)
+    dropped(*spent)
     links = measured.where(_linked(percent)).select("a", "b")
     roots = written(connected_components(links), "roots")
 
     rooted = measured.join(roots, measured["a"] == roots["node"], "left").withColumn("root", F.coalesce("root", "a")).drop("node")
     split = rooted.groupBy("b").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.octet_length("diff") / 8).cast("long").alias("held")).where("low != high")
     split = written(split.select("b", F.when(F.col("held") > GROUP_ELEMENTS, F.ceil(4 * F.col("held") / GROUP_ELEMENTS)).cast("long").alias("parts")), "split")
-    members = written(rooted.join(split.select("b"), "b", "left_semi").select("b", F.lit(0).cast("long").alias("sub"), "a", "na", "nb", "both", "diff", "root", F.lit(None).cast("array<long>").alias("prefix")), "members")
+    members = rooted.join(split.select("b"), "b", "left_semi").select("b", F.lit(0).cast("long").alias("sub"), "a", "na", "nb", "both", "diff", "root", F.lit(None).cast("array<long>").alias("prefix"))
     big = split.where("parts is not null")
     groups = members
     if not big.isEmpty():
+        members = written(members, "members")
         groups = members.join(big.select("b"), "b", "left_anti").unionByName(_dealt(members.drop("sub", "prefix"), big, percent))
     decided = groups.repartition("b", "sub").sortWithinPartitions("b", "sub", "a").mapInArrow(_decided(percent), "a binary, b binary")
     more = written(decided, "confirmed")
     if not more.isEmpty():
-        roots = written(connected_components(links.unionByName(more)), "roots")
+        stars = roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = written(connected_components(stars.unionByName(more)), "roots")
 
     named = classes.select("fp", "rep").join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least_id = named.groupBy("root").agg(F.min("rep").alias("component_id"))

@@ -129,3 +129,33 @@ def test_loose_copies_give_no_more_links_than_members():
         same = lambda x: [x.index(v) for v in x]
         assert same(got) == same(everything) and len(found) < len(sets)
         assert all(linked(sets[i], sets[j]) for i, j in found)
+
+
+def _counting(monkeypatch):
+    """Names of the tables that components and near_duplicates write from now on."""
+    names = []
+    for module in (components, minhash):
+        monkeypatch.setattr(module, "written", lambda df, name, f=module.written: names.append(name) or f(df, name))
+    return names
+
+
+def test_star_components_take_one_table(spark, monkeypatch):
+    """Links that are stars already are not worked over again; chains and shared children are."""
+    names = _counting(monkeypatch)
+    stars = [(1, x) for x in range(10, 40)] + [(x, 2) for x in range(50, 60)] + [(1, 10), (7, 7)]
+    got = {x.node: x.root for x in components.connected_components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 2} | {x: 1 for x in range(10, 40)} | {x: 2 for x in range(50, 60)}
+    assert names == ["links"]
+    for edges in ([(1, 2), (2, 3)], [(1, 3), (2, 3)]):
+        got = {x.node: x.root for x in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert got == {1: 1, 2: 1, 3: 1}
+    assert components.connected_components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
+
+
+def test_tables_with_one_reader_are_not_written(spark, monkeypatch):
+    """Each file written to a local folder starts a process beside the executor, so a step with one reader has none."""
+    names = _counting(monkeypatch)
+    rows = corpus(5)
+    got = sorted((tuple(r) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80).collect()), key=str)
+    assert got == sorted(brute(rows, 80), key=str)
+    assert not {"entries", "members"} & set(names)
