@@ -2,8 +2,10 @@
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A window of
 WINDOW words is compressed with the ordinary dictionary alone and with the toxic one before
-it; the bytes saved are the window's distance. Counts and shares of windows by bytes saved go
-through thresholds and a logistic curve calibrated on labelled rows.
+it; the bytes saved are the window's distance. The second form comes first: where it takes no
+byte from the toxic dictionary, that saves nothing and the first form is not needed. Counts and
+shares of windows by bytes saved go through thresholds and a logistic curve calibrated on
+labelled rows.
 
 Toxic text is ordinary for the most part, so both dictionaries are trained by compression:
 
@@ -51,6 +53,10 @@ PIECE, PIECE_STEP = 4, 2
 #: Savings in bytes whose counts and shares are the document's features.
 STEPS = (1, 2, 3, 4, 5)
 THRESHOLD = 0.3
+#: Characters of the texts whose windows are held at once, beside one more text, and windows
+#: among which equal ones are found.
+HELD_CHARS = 1 << 20
+HELD_WINDOWS = 1 << 15
 
 #: Longer runs without white space count as several words.
 _WORD = re.compile(r"\S{1,64}")
@@ -78,8 +84,11 @@ class Scorer:
     def __init__(self, ordinary: bytes, toxic: bytes):
         # The toxic part stands first, so matches in the ordinary part cost the same either way.
         # Nothing matches the very start of the content, so some bytes stand before the toxic part.
-        self.plain = self._compressor(bytes(8 + len(toxic)) + ordinary)
+        blanked = bytes(8 + len(toxic)) + ordinary
+        self.plain = self._compressor(blanked)
         self.marked = self._compressor(bytes(8) + toxic + ordinary)
+        # What takes bytes from the toxic part does not come back as it was without that part.
+        self.blanked = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(blanked, dict_type=zstandard.DICT_TYPE_RAWCONTENT), format=zstandard.FORMAT_ZSTD1_MAGICLESS)
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -89,15 +98,43 @@ class Scorer:
         return zstandard.ZstdCompressor(dict_data=held, compression_params=how)
 
     def saving(self, window: bytes) -> int:
-        return len(self.plain.compress(window)) - len(self.marked.compress(window))
-
-    def features(self, text: str) -> list[float]:
-        saved = np.array([self.saving(w) for w in windows(text)] or [0])
-        counts = np.array([(saved >= k).sum() for k in STEPS], float)
-        return [*np.log1p(counts), *(100 * counts / len(saved)), float(saved.max()), float(np.log(len(saved))), float((saved < 0).mean())]
+        """Bytes that the toxic part saves; none where the window's compressed form takes nothing from it."""
+        marked = self.marked.compress(window)
+        if self.blanked.decompress(marked, max_output_size=len(window)) == window:
+            return 0
+        return len(self.plain.compress(window)) - len(marked)
+
+    def savings(self, windows: list[bytes]) -> np.ndarray:
+        """The saving of each window; equal ones of HELD_WINDOWS are compressed once."""
+        out = np.zeros(len(windows), np.int64)
+        for at in range(0, len(windows), HELD_WINDOWS):
+            part = windows[at : at + HELD_WINDOWS]
+            found = {w: self.saving(w) for w in dict.fromkeys(part)}
+            out[at : at + len(part)] = [found[w] for w in part]
+        return out
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """One row per text; a text without words has one window that saves nothing."""
+        out, held, chars = [np.zeros((0, 2 * len(STEPS) + 3))], [], 0
+        for i, text in enumerate(texts):
+            held.append(windows(text))
+            chars += len(text)
+            if chars >= HELD_CHARS or i == len(texts) - 1:
+                out.append(self._rows(held))
+                held, chars = [], 0
+        return np.concatenate(out)
+
+    def _rows(self, cuts: list[list[bytes]]) -> np.ndarray:
+        sizes = np.array([len(c) for c in cuts])
+        n = np.maximum(sizes, 1)
+        saved = np.zeros(n.sum(), np.int64)
+        saved[np.repeat(sizes > 0, n)] = self.savings([w for c in cuts for w in c])
+        first = np.cumsum(n) - n
+        counts = np.add.reduceat((saved[:, None] >= np.array(STEPS)).astype(float), first)
+        return np.c_[np.log1p(counts), 100 * counts / n[:, None], np.maximum.reduceat(saved, first), np.log(n), np.add.reduceat((saved < 0).astype(float), first) / n]
 
     def scores(self, texts: list[str], model: Model) -> np.ndarray:
-        x = (np.array([self.features(t) for t in texts], float) - model.mean) / model.scale
+        x = (self.features(texts) - model.mean) / model.scale
         # Rounded, so that equal texts get equal scores whatever stands beside them.
         return _logistic(x @ model.weights[:-1] + model.weights[-1]).round(12)
 
@@ -121,8 +158,8 @@ def _joined(texts: list[str], size: int) -> tuple[bytes, list[str]]:
 def _saving_pieces(texts: list[str], ordinary: bytes, toxic: bytes, least: int) -> list[bytes]:
     """Different pieces of the texts that save ``least`` bytes or more."""
     scorer = Scorer(ordinary, toxic)
-    found = dict.fromkeys(w for t in texts for w in windows(t, PIECE, PIECE_STEP))
-    return [w for w in found if scorer.saving(w) >= least]
+    found = list(dict.fromkeys(w for t in texts for w in windows(t, PIECE, PIECE_STEP)))
+    return [w for w, saved in zip(found, scorer.savings(found), strict=True) if saved >= least]
 
 
 def _trained(size: int, samples: list[bytes]) -> bytes:
@@ -159,10 +196,10 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     x, y = [], []
     for k in (0, 1):
         scorer = Scorer(*dictionaries(toxic[k::2], ordinary[k::2]))
-        x += [scorer.features(t) for t in [*toxic[1 - k :: 2], *ordinary[1 - k :: 2]]]
+        x += [*scorer.features([*toxic[1 - k :: 2], *ordinary[1 - k :: 2]])]
         y += [1.0] * len(toxic[1 - k :: 2]) + [0.0] * len(ordinary[1 - k :: 2])
     ordinary_dict, toxic_dict = dictionaries(toxic, ordinary)
-    x, y = np.array(x or [Scorer(ordinary_dict, toxic_dict).features("")], float), np.array(y or [0.0])
+    x, y = np.array(x or Scorer(ordinary_dict, toxic_dict).features([""]), float), np.array(y or [0.0])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     a = np.c_[(x - mean) / scale, np.ones(len(x))]
     w = np.zeros(a.shape[1])

@@ -36,6 +36,35 @@ def test_windows_hold_every_word():
     assert max(len(w) for w in toxicity.windows("x" * 100_000)) <= 12 * 65 + 1
 
 
+def test_ordinary_windows_are_compressed_once(monkeypatch):
+    toxic, ordinary = corpus(["wretch"])
+    scorer = toxicity.Scorer(*toxicity.dictionaries(toxic, ordinary))
+    plain, again = scorer.plain, []
+
+    class Counted:
+        def compress(self, window):
+            again.append(window)
+            return plain.compress(window)
+
+    scorer.plain = Counted()
+    texts = [*ordinary, *toxic[:6], "", ordinary[0], "\x00 " * 40, "word " * 500]
+    rows = scorer.features(texts)
+    cuts = [toxicity.windows(t) for t in texts]
+    different = {w for c in cuts for w in c}
+    assert 0 < len(again) == len(set(again)) < len(different) / 3
+    full = {w: len(plain.compress(w)) - len(scorer.marked.compress(w)) for w in different}
+    assert sum(full[w] != 0 for w in different - set(again)) <= len(different) / 200
+    for c, row in zip(cuts, rows, strict=True):
+        saved = [full[w] if w in again else 0 for w in c] or [0]
+        counts = [sum(s >= k for s in saved) for k in toxicity.STEPS]
+        n = len(saved)
+        assert np.allclose(row, [*np.log1p(counts), *(100 * k / n for k in counts), max(saved), np.log(n), sum(s < 0 for s in saved) / n])
+    assert scorer.features([]).shape == (0, rows.shape[1])
+    monkeypatch.setattr(toxicity, "HELD_CHARS", 2_000)
+    monkeypatch.setattr(toxicity, "HELD_WINDOWS", 3)
+    assert (scorer.features(texts) == rows).all()
+
+
 def test_scores_match_a_plain_scorer(spark):
     toxic, ordinary = corpus(["wretch"], toxic=40)
     rows = [*((i, t, 1) for i, t in enumerate(toxic)), *((1000 + i, t, 0) for i, t in enumerate(ordinary)), (5000, "x " * 30_000 + "wretch", None)]
